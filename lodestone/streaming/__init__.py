@@ -1,0 +1 @@
+"""Bounded tables only: the engine has no streaming operators of its own; Spark's readStream works on its DataFrames."""
