@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.mixing import mix_report
 from lodestone.llm.rules import quality_report
+from lodestone.llm.sentencepieces import encode_documents
 from lodestone.llm.shards import shard_by_bytes
 
 
@@ -12,6 +14,21 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """The path of a vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_docs(spark, sf_dir))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_docs(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), digests=True)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_docs(spark, sf_dir)).drop("rejected_by")
 
@@ -20,7 +37,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_docs(spark, sf_dir))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op7_quality_rules, op10_sharding)}
+LLM_QUERIES = {f.__name__: f for f in (op1_mixing, op4_sentencepiece, op7_quality_rules, op10_sharding)}
 
 OP7_SQL = r"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
