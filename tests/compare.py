@@ -1,6 +1,7 @@
 """Comparing a query with its SQL on an independent engine."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,7 +19,7 @@ def rows(df) -> list[tuple]:
 
 
 def _plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
         return None
     if hasattr(v, "isoformat"):
         return str(v)
