@@ -8,6 +8,7 @@ from lodestone.llm.mixing import mix_report
 from lodestone.llm.rules import quality_report
 from lodestone.llm.sentencepieces import encode_documents
 from lodestone.llm.shards import shard_by_bytes
+from lodestone.llm.warc import round_trip
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_docs(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), digests=True)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_docs(spark, sf_dir)).drop("rejected_by")
 
@@ -37,7 +42,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_docs(spark, sf_dir))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_mixing, op4_sentencepiece, op7_quality_rules, op10_sharding)}
+LLM_QUERIES = {f.__name__: f for f in (op1_mixing, op4_sentencepiece, op6_warc, op7_quality_rules, op10_sharding)}
+
+OP6_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by payload_digest)
+select d.*, case when first <> page_id then 'revisit' else 'response' end as record_type,
+    case when first <> page_id then first end as refers_to
+from d left join f using (payload_digest)
+"""
 
 OP7_SQL = r"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
@@ -56,4 +70,4 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
 from m
 """
 
-LLM_SQL = {"op7_quality_rules": OP7_SQL}
+LLM_SQL = {"op6_warc": OP6_SQL, "op7_quality_rules": OP7_SQL}
