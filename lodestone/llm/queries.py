@@ -8,6 +8,7 @@ from lodestone.llm.mixing import mix_report
 from lodestone.llm.rules import quality_report
 from lodestone.llm.sentencepieces import encode_documents
 from lodestone.llm.shards import shard_by_bytes
+from lodestone.llm.suffixes import repeat_report
 from lodestone.llm.warc import round_trip
 
 
@@ -26,6 +27,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_docs(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(_docs(spark, sf_dir))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_docs(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), digests=True)
 
@@ -42,7 +47,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_docs(spark, sf_dir))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_mixing, op4_sentencepiece, op6_warc, op7_quality_rules, op10_sharding)}
+LLM_QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op4_sentencepiece, op6_warc, op7_quality_rules, op10_sharding)}
 
 OP6_SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
