@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.fmindex import substring_report
 from lodestone.llm.mixing import mix_report
 from lodestone.llm.rules import quality_report
 from lodestone.llm.sentencepieces import encode_documents
@@ -31,6 +32,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(_docs(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(_docs(spark, sf_dir))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_docs(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), digests=True)
 
@@ -47,7 +52,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_docs(spark, sf_dir))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op4_sentencepiece, op6_warc, op7_quality_rules, op10_sharding)}
+LLM_QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_substring_dedup, op4_sentencepiece, op6_warc, op7_quality_rules, op10_sharding)}
+
+OP3_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select doc_id, unnest(range(1, len(ws) - 33)) as i, unnest(list_transform(range(1, len(ws) - 33), lambda i: array_to_string(ws[i:i + 34], ' '))) as g from w where len(ws) >= 35),
+d as (select doc_id, i from (select doc_id, i, count(*) over (partition by g) as n from g) where n > 1),
+r as (select distinct doc_id, i + k as i from d, range(35) t(k)),
+p as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from w),
+k as (select p.doc_id, p.i, p.ws[p.i] as word, r.i is null as stays from p left join r on r.doc_id = p.doc_id and r.i = p.i),
+s as (select doc_id, count(*) filter (not stays) as n_removed, string_agg(word, ' ' order by i) filter (stays) as kept from k group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join s on s.doc_id = w.doc_id
+"""
 
 OP6_SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
@@ -75,4 +92,4 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
 from m
 """
 
-LLM_SQL = {"op6_warc": OP6_SQL, "op7_quality_rules": OP7_SQL}
+LLM_SQL = {"op3_substring_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op7_quality_rules": OP7_SQL}
