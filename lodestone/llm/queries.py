@@ -8,6 +8,7 @@ from lodestone.llm.fmindex import substring_report
 from lodestone.llm.mixing import mix_report
 from lodestone.llm.neighbours import neighbours
 from lodestone.llm.rules import quality_report
+from lodestone.llm.scoring import score_documents
 from lodestone.llm.sentencepieces import encode_documents
 from lodestone.llm.shards import shard_by_bytes
 from lodestone.llm.suffixes import repeat_report
@@ -49,6 +50,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_docs(spark, sf_dir)).drop("rejected_by")
 
 
+def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_docs(spark, sf_dir))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -57,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_docs(spark, sf_dir))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_substring_dedup, op4_sentencepiece, op6_warc, op7_quality_rules, op9_neighbours, op10_sharding)}
+LLM_QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_substring_dedup, op4_sentencepiece, op6_warc, op7_quality_rules, op8_scoring, op9_neighbours, op10_sharding)}
 
 OP3_SQL = r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
