@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.fmindex import substring_report
+from lodestone.llm.jaccard import jaccard_classes
 from lodestone.llm.mixing import mix_report
 from lodestone.llm.neighbours import neighbours
 from lodestone.llm.rules import quality_report
@@ -42,6 +43,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_docs(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), digests=True)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_docs(spark, sf_dir))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -62,7 +67,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_docs(spark, sf_dir))
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_substring_dedup, op4_sentencepiece, op6_warc, op7_quality_rules, op8_scoring, op9_neighbours, op10_sharding)}
+LLM_QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_substring_dedup, op4_sentencepiece, op5_jaccard_join, op6_warc, op7_quality_rules, op8_scoring, op9_neighbours, op10_sharding)}
 
 OP3_SQL = r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
@@ -76,6 +81,21 @@ select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n
 from w left join s on s.doc_id = w.doc_id
 """
 
+OP5_SQL = r"""
+with recursive t as (select coalesce(text, '') as text, min(doc_id) as first, count(*) as n_copies from documents group by 1),
+w as (select first, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from t),
+s as (select distinct first, unnest(case when len(ws) between 1 and 4 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as g from w where len(ws) > 0),
+n as (select first, count(*) as n from s group by first),
+c as (select a.first as x, b.first as y, count(*) as both from s a join s b on a.g = b.g and a.first <> b.first group by 1, 2),
+l as (select x, y from c join n a on a.first = x join n b on b.first = y where 10 * c.both >= 8 * (a.n + b.n - c.both)),
+r as (select first as x, first as y from t union select r.x, l.y from r join l on l.x = r.y),
+k as (select x, min(y) as class_id from r group by x),
+m as (select x, count(*) as n_links from l group by x)
+select doc_id, class_id, coalesce(n_links, 0)::bigint as n_links, n_copies
+from documents d join t on t.text = coalesce(d.text, '') join k on k.x = t.first left join m on m.x = t.first
+"""
+
 OP6_SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 d as (select page_id, strlen(html)::bigint as payload_bytes, sha256(html) as payload_digest from p),
@@ -102,4 +122,4 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
 from m
 """
 
-LLM_SQL = {"op3_substring_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op7_quality_rules": OP7_SQL}
+LLM_SQL = {"op5_jaccard_join": OP5_SQL, "op3_substring_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op7_quality_rules": OP7_SQL}
