@@ -20,7 +20,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     """The path of a vocabulary file of the installed public tokenizers."""
     import public_tokenizers
 
@@ -40,7 +40,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(_docs(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), digests=True)
+    return encode_documents(_docs(spark, sf_dir), tokenizer("piece_bpe_32k.model"), digests=True)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
