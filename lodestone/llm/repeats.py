@@ -213,12 +213,12 @@ def repeated_spans(docs: DataFrame, form: Form, kind: np.dtype) -> DataFrame:
     path = fresh_path(spark, "runs")
     scan(docs, form).write.parquet(path)
     every = spark.read.parquet(path)
-    often = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    often = keep(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))  # written first: a join of two plain exchanges can split a hot key
     found = keep(every.join(often, "h", "left_semi"))
     drop_path(spark, path)
     release(spark)
     slices = keep(found.groupBy("h", "d").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "fp", "pos")).alias("at")))
-    groups = slices.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    groups = keep(slices.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
     slices = keep(slices.join(groups, "h"))
     alone = slices.filter("n = 1 and c > 1").select("h", "d", F.array(F.struct(F.lit(0).alias("f"), (many(F.col("at.pos")) - 1).alias("t"))).alias("cover"))
     some = slices.filter("n > 1").select("h", "d", "c", "n", "at.doc_id", "at.fp", "at.pos")
