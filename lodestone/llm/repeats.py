@@ -101,8 +101,8 @@ def many(pos):
 
 
 def cut(docs: DataFrame, wanted: DataFrame, form: Form) -> DataFrame:
-    """h, d, c and the slice (the bytes of its symbols) of every wanted row."""
-    lists = wanted.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("h", "d", "c", "pos")).alias("runs"))
+    """h, d, c, n and the slice (the bytes of its symbols) of every wanted row."""
+    lists = wanted.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("h", "d", "c", "n", "pos")).alias("runs"))
     joined = docs.join(lists.withColumnsRenamed({"doc_id": "_id", "fp": "_fp"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp"))).select("text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +110,7 @@ def cut(docs: DataFrame, wanted: DataFrame, form: Form) -> DataFrame:
             lists = b.column(1)
             inner = lists.flatten()
             of = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-            h, d, c, pos = (inner.field(k) for k in range(4))
-            where = pos.to_numpy()
+            where = inner.field(4).to_numpy()
             for first, stop, data, at in pieces(b.column(0)):
                 symbols, at = form.symbols(data, at)[:2]
                 own = slice(of[first], of[stop])
@@ -122,9 +121,9 @@ def cut(docs: DataFrame, wanted: DataFrame, form: Form) -> DataFrame:
                 ends = np.r_[0, np.cumsum(size)] * symbols.itemsize
                 if len(w):
                     binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body))])
-                    yield pa.RecordBatch.from_arrays([h[own.start : own.stop], d[own.start : own.stop], c[own.start : own.stop], binary.cast(pa.binary())], ["h", "d", "c", "body"])
+                    yield pa.RecordBatch.from_arrays([*(inner.field(k)[own.start : own.stop] for k in range(4)), binary.cast(pa.binary())], ["h", "d", "c", "n", "body"])
 
-    return joined.mapInArrow(run, "h long, d long, c long, body binary")
+    return joined.mapInArrow(run, "h long, d long, c long, n long, body binary")
 
 
 def settle(slices: DataFrame, form: Form) -> DataFrame:
@@ -155,7 +154,7 @@ def settle(slices: DataFrame, form: Form) -> DataFrame:
         if held:
             yield done(pa.Table.from_batches(held))
 
-    return slices.repartition("h").sortWithinPartitions("h").mapInArrow(run, COVER)
+    return slices.select("h", "d", "c", "body").repartition("h").sortWithinPartitions("h").mapInArrow(run, COVER)
 
 
 COVER = "h long, d long, cover array<struct<f:int,t:int>>"
@@ -190,7 +189,7 @@ def settle_hot(slices: DataFrame, form: Form, kind: np.dtype) -> DataFrame:
                 row = pa.array(np.repeat(np.arange(first, stop), n))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), b.column(2).take(row), pa.array(w.view(np.int64)), pa.array((start - np.repeat(at[:-1], n)).astype(np.int32))], ["h", "d", "c", "w", "i"])
 
-    windows = slices.mapInArrow(run, "h long, d long, c long, w long, i int")
+    windows = slices.select("h", "d", "c", "body").mapInArrow(run, "h long, d long, c long, w long, i int")
     twice = windows.groupBy("h", "w").agg(F.sum("c").alias("n")).filter("n > 1")
     hits = windows.join(twice, ["h", "w"], "left_semi")
     return hits.groupBy("h", "d").agg(F.collect_list(F.struct(F.col("i").alias("f"), F.col("i").alias("t"))).alias("cover"))
@@ -222,11 +221,13 @@ def repeated_spans(docs: DataFrame, form: Form, kind: np.dtype) -> DataFrame:
     slices = keep(slices.join(groups, "h"))
     alone = slices.filter("n = 1 and c > 1").select("h", "d", F.array(F.struct(F.lit(0).alias("f"), (many(F.col("at.pos")) - 1).alias("t"))).alias("cover"))
     some = slices.filter("n > 1").select("h", "d", "c", "n", "at.doc_id", "at.fp", "at.pos")
-    warm = settle(cut(docs, some.filter(F.col("n") <= HOT), form), form)
-    cover = alone.unionByName(warm)
-    if not some.filter(F.col("n") > HOT).isEmpty():
-        cover = cover.unionByName(settle_hot(keep(cut(docs, some.filter(F.col("n") > HOT), form)), form, kind))
+    bodies = keep(cut(docs, some, form))  # documents move once for small and large groups
+    release(spark)
+    cover = alone.unionByName(settle(bodies.filter(F.col("n") <= HOT), form))
+    if not groups.filter(F.col("n") > HOT).isEmpty():
+        cover = cover.unionByName(settle_hot(bodies.filter(F.col("n") > HOT), form, kind))
     cover = keep(cover)
+    del bodies, slices, some, alone, groups
     release(spark)
     start, width = place(F.col("pos")), form.width
     spans = F.transform("cover", lambda x: F.struct((start + x["f"]).alias("a"), (start + x["t"] + width).alias("b")))
