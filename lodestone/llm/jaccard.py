@@ -305,4 +305,5 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key is the smallest of their class, with all columns. Keys are taken to be unique."""
     keys = jaccard_classes(docs, text, key).filter(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_key")).distinct()
-    return docs.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_id"))
+    return rows.join(keys, F.col("_id").eqNullSafe(F.col("_key")), "left_semi").select("_row.*")

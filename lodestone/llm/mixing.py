@@ -182,8 +182,7 @@ def mix_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", source:
     in_pass = F.transform(F.filter("blocks", lambda x: x["times"] >= F.col("_pass")), lambda x: x["block"])
     passes = passes.select("_key", "_start", "_size", in_pass.alias("_in"))
     whole = F.size("_in") == F.floor((F.col("_start") + F.col("_size") - 1) / b) - F.floor(F.col("_start") / b) + 1
-    some = F.array_join(F.filter(words_of(F.col(text)), lambda w, i: F.array_contains(F.col("_in"), F.floor((F.col("_start") + i) / b))), " ")
-    joined = docs.join(passes, F.col(key).eqNullSafe(F.col("_key")))
-    joined = joined.withColumn("_out", F.when(whole, F.col(text)).otherwise(some))
-    keep_columns = [F.col("_out").alias(c) if c == text else F.length("_out").cast(kind).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, kind in docs.dtypes]
-    return joined.select(keep_columns)
+    some = F.array_join(F.filter(words_of(F.col("_text")), lambda w, i: F.array_contains(F.col("_in"), F.floor((F.col("_start") + i) / b))), " ")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_text"))
+    joined = rows.join(passes, F.col("_id").eqNullSafe(F.col("_key"))).withColumn("_out", F.when(whole, F.col("_text")).otherwise(some))
+    return joined.select([F.col("_out").alias(c) if c == text else F.length("_out").cast(kind).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c, kind in docs.dtypes])

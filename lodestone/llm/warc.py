@@ -98,14 +98,14 @@ def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html
     p = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), body.alias("payload")).withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
     # groups of equal payloads, counted before they are joined: single ones stay out of the join's small side
     first = (
-        p.filter((F.col("n") >= REVISIT_LEAST) & F.col("page_id").isNotNull())
+        p.filter(F.col("n") >= REVISIT_LEAST)
         .groupBy("digest")
-        .agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("copies"))
-        .filter("copies > 1")
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("copies"))
+        .filter("copies > 1 and first is not null")
         .select(F.col("digest").alias("_digest"), "first")
     )
     joined = p.join(first, (F.col("digest") == F.col("_digest")) & (F.col("n") >= REVISIT_LEAST), "left")
-    other = F.coalesce(F.col("page_id") != F.col("first.page_id"), F.lit(False))
+    other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return joined.select("page_id", "url", "payload", "n", "digest", F.when(other, F.col("first.page_id")).alias("refers_to"), F.when(other, F.col("first.url")).alias("refers_url"))
 
 
