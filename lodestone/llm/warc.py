@@ -96,8 +96,8 @@ def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """page_id, url, payload (binary), n, digest and, for revisits, refers_to and refers_url."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     p = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), body.alias("payload")).withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    # groups of equal payloads, counted before they are joined: single ones stay out of the join's small side
-    first = (
+    # groups of equal payloads, counted and written before they are joined: the join of two plain exchanges can split a large group
+    first = keep(
         p.filter(F.col("n") >= REVISIT_LEAST)
         .groupBy("digest")
         .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("copies"))
