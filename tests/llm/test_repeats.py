@@ -15,12 +15,13 @@ SF = "/root/testdata/sf0.001"
 
 
 def windows_gone(symbols: list, width: int) -> list[list[bool]]:
-    seen = Counter(tuple(s[i : i + width]) for s in symbols for i in range(len(s) - width + 1))
+    key = lambda s, i: s[i : i + width] if isinstance(s, bytes) else tuple(s[i : i + width])
+    seen = Counter(key(s, i) for s in symbols for i in range(len(s) - width + 1))
     out = []
     for s in symbols:
         gone = [False] * len(s)
         for i in range(len(s) - width + 1):
-            if seen[tuple(s[i : i + width])] > 1:
+            if seen[key(s, i)] > 1:
                 gone[i : i + width] = [True] * width
         out.append(gone)
     return out
