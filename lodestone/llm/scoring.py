@@ -9,7 +9,7 @@ a place by hash that moves from round to round; each partition trains its own co
 backpropagation, and the copies are averaged by words. Scoring takes every word of every document, with the state
 carried from window to window.
 
-Words are known by 64-bit hashes. The HEAD most frequent are looked up in a table of fixed size that goes to all
+Words are known by 64-bit hashes. The most frequent, HEAD of them at most, are looked up in a table of fixed size that goes to all
 workers; the documents' other words are joined with the counts.
 
 Defined results: A-Z are lower-cased; a null or empty text is one end token; a null id counts as an empty text, so
@@ -119,8 +119,16 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The words at or above the least count that HEAD words at most reach, by a histogram of counts in steps of a sixteenth of a doubling."""
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "w").limit(HEAD).toPandas()
+    level = F.floor(16 * F.log2("c"))
+    steps = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect()  # under 1,000 rows
+    least, held = None, 0
+    for r in sorted(steps, key=lambda r: -r["level"]):
+        if held + r["n"] > HEAD:
+            break
+        least, held = r["least"], held + r["n"]
+    top = counts.filter(F.col("c") >= least if least is not None else F.lit(False)).toPandas().sort_values(["c", "w"], ascending=[False, True])
     w, c = top.w.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64)
     number = np.where(np.arange(len(w)) < NUMBERED - 1, np.arange(len(w)) + 1, 0)
     end = np.flatnonzero(w == END)
