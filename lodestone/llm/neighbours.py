@@ -140,7 +140,9 @@ class Index:
     def __init__(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = RECALL):
         self.k = k
         rows = vectors.select(F.col(key).cast("long").alias("vid"), F.col(vector).cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("vid").isNotNull())
-        sample = rows.orderBy(F.xxhash64("vid"), "vid").limit(FIT_ROWS).toPandas()
+        # by hash, thinned to twice the sample before it is put in order
+        dice, all_ = F.pmod(F.xxhash64("vid"), F.lit(1 << 40)), max(1, rows.count())
+        sample = rows.filter(dice < int(min(1.0, 2 * FIT_ROWS / all_) * (1 << 40))).orderBy(dice, "vid").limit(FIT_ROWS).toPandas()
         self.size = int(sample.v.map(len).mode().iloc[0]) if len(sample) else 0
         rows = rows.filter(F.size("v") == self.size)
         if not self.size:
