@@ -1,8 +1,8 @@
 """Relational operators as functions from DataFrames to DataFrames."""
 
 from lodestone.operators.aggregates import aggregate
-from lodestone.operators.joins import band, join, join_all, trim_equal
+from lodestone.operators.joins import band, join, join_all, join_using, trim_equal
 from lodestone.operators.predicates import all_of, any_of, compare
 from lodestone.operators.sorting import order_by, top_k
 
-__all__ = ["aggregate", "all_of", "any_of", "band", "compare", "join", "join_all", "order_by", "top_k", "trim_equal"]
+__all__ = ["aggregate", "all_of", "any_of", "band", "compare", "join", "join_all", "join_using", "order_by", "top_k", "trim_equal"]

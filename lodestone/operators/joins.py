@@ -15,6 +15,13 @@ def join(left: DataFrame, right: DataFrame, *conditions: Column, how: str = "inn
     return left.join(right, all_of(*conditions), how)
 
 
+def join_using(left: DataFrame, right: DataFrame, *names: str, how: str = "inner") -> DataFrame:
+    """Equality of the named columns, of which the result has one copy."""
+    if not names:
+        raise ValueError("a join needs a condition")
+    return left.join(right, list(names), how)
+
+
 def join_all(first: DataFrame, *rest: tuple[DataFrame, Column]) -> DataFrame:
     """A chain of inner joins; the optimizer may reorder it."""
     for df, condition in rest:

@@ -45,6 +45,16 @@ def read_typed_csv(spark: SparkSession, path: str, *, keep_corrupt: bool = False
     return df.select(columns)
 
 
+def read_plain_csv(spark: SparkSession, path: str, *, header: bool = True) -> DataFrame:
+    """A CSV file without types: every column is text, named by the first line or _c0, _c1, ..."""
+    return spark.read.option("header", header).option("quote", '"').option("escape", '"').csv(path)
+
+
+def read_queries(spark: SparkSession, directory: str) -> dict[str, str]:
+    """The text of every file of a directory, by file stem, in the order of the names."""
+    return {stem(p): spark.read.text(p, wholetext=True).first()[0] for p in list_files(spark, directory, "")}
+
+
 def list_files(spark: SparkSession, directory: str, suffix: str) -> list[str]:
     """Paths in a directory that end in suffix, by Hadoop's file systems, so any store works."""
     jvm = spark.sparkContext._jvm

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.functions import parse_moment
-from lodestone.operators import aggregate, all_of, any_of, band, compare, join, order_by, top_k, trim_equal
+from lodestone.operators import aggregate, all_of, any_of, band, compare, join, join_using, order_by, top_k, trim_equal
 from lodestone.operators.aggregates import call
 
 
@@ -76,3 +76,10 @@ def test_random_predicates(spark, rows, both, either):
     want = duckdb.sql(f"select x::int as x, s::varchar as s from t where {where}").fetchall()
     plain = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else v
     assert sorted(map(repr, ((r.x, r.s) for r in got))) == sorted(map(repr, ((plain(a), plain(b)) for a, b in want)))
+
+
+def test_join_using_keeps_one_key(spark):
+    a, b = spark.createDataFrame([(1, "x")], "k int, p string"), spark.createDataFrame([(1, "y"), (2, "z")], "k int, q string")
+    assert join_using(a, b, "k").columns == ["k", "p", "q"]
+    with pytest.raises(ValueError):
+        join_using(a, b)

@@ -9,7 +9,7 @@ from lodestone import Engine
 from lodestone.__main__ import main
 from lodestone.sources.header import HeaderError, format_header, parse_header
 from lodestone.sources.sink import write_typed_csv
-from lodestone.sources.tables import CORRUPT, load_directory, read_typed_csv
+from lodestone.sources.tables import CORRUPT, load_directory, read_plain_csv, read_queries, read_typed_csv
 
 LONG = "N" * 60
 PEOPLE = f'''id (N) (P),name (T),salary (N),joined (D)\r
@@ -94,3 +94,13 @@ def test_untyped_header_is_an_error(spark, tmp_path):
     (tmp_path / "sales.csv").write_text("SalesID,CustomerID\n1,2\n")
     with pytest.raises(HeaderError):
         read_typed_csv(spark, str(tmp_path / "sales.csv"))
+
+
+def test_plain_csv_and_query_files(spark, tmp_path):
+    (tmp_path / "sales.csv").write_bytes(b"SalesID,CustomerID\r\n1,\"a,b\"\r\n")
+    assert [tuple(r) for r in read_plain_csv(spark, str(tmp_path / "sales.csv")).collect()] == [("1", "a,b")]
+    assert read_plain_csv(spark, str(tmp_path / "sales.csv"), header=False).count() == 2
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "two.sql").write_text("select 2")
+    (tmp_path / "q" / "one.sql").write_text("select\n1")
+    assert read_queries(spark, str(tmp_path / "q")) == {"one": "select\n1", "two": "select 2"}
