@@ -218,16 +218,18 @@ def repeated_spans(docs: DataFrame, form: Form, kind: np.dtype) -> DataFrame:
     release(spark)
     slices = keep(found.groupBy("h", "d").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "fp", "pos")).alias("at")))
     groups = keep(slices.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
-    slices = keep(slices.join(groups, "h"))
+    slices, hot = keep(slices.join(groups, "h")), not groups.filter(F.col("n") > HOT).isEmpty()
+    del groups, often, every
+    release(spark)
     alone = slices.filter("n = 1 and c > 1").select("h", "d", F.array(F.struct(F.lit(0).alias("f"), (many(F.col("at.pos")) - 1).alias("t"))).alias("cover"))
     some = slices.filter("n > 1").select("h", "d", "c", "n", "at.doc_id", "at.fp", "at.pos")
     bodies = keep(cut(docs, some, form))  # documents move once for small and large groups
     release(spark)
     cover = alone.unionByName(settle(bodies.filter(F.col("n") <= HOT), form))
-    if not groups.filter(F.col("n") > HOT).isEmpty():
+    if hot:
         cover = cover.unionByName(settle_hot(bodies.filter(F.col("n") > HOT), form, kind))
     cover = keep(cover)
-    del bodies, slices, some, alone, groups
+    del bodies, slices, some, alone
     release(spark)
     start, width = place(F.col("pos")), form.width
     spans = F.transform("cover", lambda x: F.struct((start + x["f"]).alias("a"), (start + x["t"] + width).alias("b")))
