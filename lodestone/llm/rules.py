@@ -112,21 +112,20 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """(cost, rejection rate) of each rule on a sample of at most `rows` rows.
+    """(cost, rejection rate) of each rule on the first `rows` rows; tasks start until these are found, and figures alone reach the driver.
 
     The cost of a rule is the work of its inputs in units of one pass over the text's characters; sorting
     the windows of n words counts as n * log2(n). The sample decides the order of the rules alone.
     """
-    chars = F.avg(F.length(F.coalesce(F.col(text), F.lit(""))))
-    sample = docs.select(F.col(text)).limit(rows)
-    measured = measure(sample.withColumn("doc_id", F.lit(0)), text).select("_m", F.lit(1).alias("_one"))
-    share = measured.agg(*[F.avg(r.rejects(F.col("_m")).cast("double")).alias(r.name) for r in rules], F.avg("_m.n_words").alias("_words")).first()
-    mean = sample.agg(chars.alias("c")).first()["c"] or 0.0
-    n = share["_words"] or 0.0
+    m = F.col("_m")
+    figures = [r.rejects(m).cast("double").alias(r.name) for r in rules]
+    found = measure(docs, text, (text,)).select(*figures, m["n_words"].alias("_words"), F.coalesce(F.length(text), F.lit(0)).alias("_chars")).limit(rows).collect()
+    mean_of = lambda c: sum(r[c] for r in found) / max(1, len(found))
+    mean, n = mean_of("_chars"), mean_of("_words")
     unit = {"n_words": 2.0, "word_chars": 1.0, "n_symbols": 1.0, "n_dup_lines": 2.0}
     sort = 2.0 + 8.0 * n * max(1, int(n)).bit_length() / (mean + 1.0)
     cost = unit | {"n_repeat_words": sort}
-    return {r.name: (sum(cost[i] for i in r.inputs), share[r.name] or 0.0) for r in rules}
+    return {r.name: (sum(cost[i] for i in r.inputs), mean_of(r.name)) for r in rules}
 
 
 def ordered(rules: tuple[Rule, ...], figures: dict[str, tuple[float, float]]) -> list[Rule]:
