@@ -117,7 +117,7 @@ m as (select w.doc_id, len(ws)::bigint as n_words, len(regexp_replace(text, '[\x
     (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
     from w left join r on r.doc_id = w.doc_id)
 select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-    not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or n_symbols > n_words
+    not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > n_words
         or word_chars < 2 * n_words or word_chars > 16 * n_words or 10 * n_dup_lines > n_words) as kept
 from m
 """

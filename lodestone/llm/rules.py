@@ -98,7 +98,7 @@ BASE = (
 )
 #: Beyond the base: texts made of symbols, of endless or one-letter words, or of one line again and again.
 FURTHER = (
-    Rule("symbols", lambda m: m["n_symbols"] > m["n_words"], ("n_words", "n_symbols")),
+    Rule("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"], ("n_words", "n_symbols")),
     Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 16 * m["n_words"]), ("n_words", "word_chars")),
     Rule("lines", lambda m: 10 * m["n_dup_lines"] > m["n_words"], ("n_words", "n_dup_lines")),
 )
