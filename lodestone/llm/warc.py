@@ -24,6 +24,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import fresh_path, keep
 
 REVISIT_LEAST = 100
-#: Bytes of an archive after which a new one begins; capture lines in a block of the index.
-ARCHIVE_BYTES, BLOCK_LINES = 64 << 20, 500
+#: Bytes of an archive after which a new one begins; capture lines in a block of the index; rows that are Python objects at once.
+ARCHIVE_BYTES, BLOCK_LINES, ROWS = 64 << 20, 500, 256
 CRLF = b"\r\n"
 
 
@@ -55,7 +56,7 @@ def surt(url: str | None) -> str:
     return f"{host}{port}){parts.path or '/'}{'?' + parts.query if parts.query else ''}".lower()
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, n: int, refers_to: int | None = None, refers_url: str | None = None) -> bytes:
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None, refers_url: str | None = None) -> bytes:
     """One WARC/1.1 record as a gzip member. A revisit has no payload; length and digest of the payload stand in its headers."""
     head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:page:" + str(page_id).encode() + b">", b"WARC-Date: 1970-01-01T00:00:00Z"]
     head.append(b"WARC-Target-URI: " + clean(url))
@@ -93,20 +94,25 @@ def page_of(urn: str) -> int | None:
 
 
 def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, payload (binary), n, digest and, for revisits, refers_to and refers_url."""
+    """A row for each page and, for each that is a revisit, one more without payload (mark 0) that says of what.
+
+    Columns: key, page_id, url, payload (binary), digest, mark, refers_to, refers_url. Marks and pages meet in the
+    writer, so payloads move once, to their place in the order, and never for the search of equal ones.
+    """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    p = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), body.alias("payload")).withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    # groups of equal payloads, counted and written before they are joined: the join of two plain exchanges can split a large group
+    p = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    info = keep(p.select("page_id", "url", "digest", F.octet_length("payload").alias("n")).filter(F.col("n") >= REVISIT_LEAST))
+    # written before it is joined: the join of two plain exchanges can split a large group
     first = keep(
-        p.filter(F.col("n") >= REVISIT_LEAST)
-        .groupBy("digest")
+        info.groupBy("digest")
         .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("copies"))
         .filter("copies > 1 and first is not null")
         .select(F.col("digest").alias("_digest"), "first")
     )
-    joined = p.join(first, (F.col("digest") == F.col("_digest")) & (F.col("n") >= REVISIT_LEAST), "left")
-    other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    return joined.select("page_id", "url", "payload", "n", "digest", F.when(other, F.col("first.page_id")).alias("refers_to"), F.when(other, F.col("first.url")).alias("refers_url"))
+    again = info.join(first, (F.col("digest") == F.col("_digest")) & ~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    marks = again.select(surt_column("url").alias("key"), "page_id", "url", F.lit(None).cast("binary").alias("payload"), "digest", F.lit(0).alias("mark"), F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
+    whole = p.select(surt_column("url").alias("key"), "page_id", "url", "payload", "digest", F.lit(1).alias("mark"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
+    return whole.unionByName(marks)
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -122,15 +128,15 @@ def write_archives(pages: DataFrame, folder: str, parts: int | None = None) -> D
     pages: the columns of with_revisits. The manifest is kept in the shared folder, so it names each part once.
     """
     spark = pages.sparkSession
-    keyed = pages.withColumn("key", surt_column("url"))  # a range exchange reads its input twice: once for the bounds
-    spread = keyed.repartitionByRange(parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key", F.col("page_id").asc_nulls_last())
-    in_order = spread.sortWithinPartitions("key", F.col("page_id").asc_nulls_last()).select("key", "page_id", "url", "payload", "n", "digest", "refers_to", "refers_url")
+    order = ["key", F.col("page_id").asc_nulls_last()]
+    spread = pages.repartitionByRange(parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order)
+    in_order = spread.sortWithinPartitions(*order, "digest", "mark")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = open_fs(folder)
         files.create_dir(base, recursive=True)
         name, lines, blocks, archive, at, number = uuid.uuid4().hex, [], [], None, 0, 0
-        index, index_at, low, high, total = None, 0, None, None, 0
+        index, index_at, low, high, total, mark = None, 0, None, None, 0, None
 
         def flush() -> None:
             nonlocal index, index_at
@@ -142,14 +148,20 @@ def write_archives(pages: DataFrame, folder: str, parts: int | None = None) -> D
             lines.clear()
 
         for b in batches:
-            for row in b.to_pylist():
+            for row in chain.from_iterable(b.slice(k, ROWS).to_pylist() for k in range(0, b.num_rows, ROWS)):
+                if not row["mark"]:
+                    mark = row
+                    continue
+                of = mark if mark and all(mark[c] == row[c] for c in ("key", "page_id", "digest")) else None
                 if archive is None or at >= ARCHIVE_BYTES:
                     if archive:
                         archive.close()
                         number += 1
                     archive, at = files.open_output_stream(f"{base}/{name}-{number}.warc.gz", compression=None), 0
-                kind = "response" if row["refers_to"] is None else "revisit"
-                member = record(kind, row["page_id"], row["url"], row["payload"] if kind == "response" else b"", row["digest"], row["n"], row["refers_to"], row["refers_url"])
+                if of:
+                    member = record("revisit", row["page_id"], row["url"], b"", row["digest"], of["refers_to"], of["refers_url"])
+                else:
+                    member = record("response", row["page_id"], row["url"], row["payload"], row["digest"])
                 archive.write(member)
                 lines.append(capture_line(row["key"], row["page_id"], number, at, len(member)))
                 at, total, high = at + len(member), total + 1, row["key"]
