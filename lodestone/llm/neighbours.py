@@ -28,7 +28,7 @@ from lodestone.llm.shared import keep
 
 FIT_ROWS, CALIBRATION, RECALL = 20_000, 256, 0.97
 #: Children a node, sampled vectors a leaf, vectors and queries a chunk.
-BRANCH, LEAF, CHUNK = 12, 40, 4096
+BRANCH, LEAF, CHUNK = 12, 200, 4096
 
 
 def usable(v: Column) -> Column:
@@ -139,7 +139,9 @@ class Index:
 
     def __init__(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = RECALL):
         self.k = k
-        rows = vectors.select(F.col(key).cast("long").alias("vid"), F.col(vector).cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("vid").isNotNull())
+        # vectors move in their own type where that is float, and are doubles in all arithmetic
+        self.kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+        rows = vectors.select(F.col(key).cast("long").alias("vid"), F.col(vector).cast(self.kind).alias("v")).filter(usable(F.col("v")) & F.col("vid").isNotNull())
         # by hash, thinned to twice the sample before it is put in order
         dice, all_ = F.pmod(F.xxhash64("vid"), F.lit(1 << 40)), max(1, rows.count())
         sample = rows.filter(dice < int(min(1.0, 2 * FIT_ROWS / all_) * (1 << 40))).orderBy(dice, "vid").limit(FIT_ROWS).toPandas()
@@ -155,7 +157,7 @@ class Index:
             for pdf in batches:
                 yield pdf.assign(leaf=tree.assign(stacked(pdf.v)))
 
-        self.rows = keep(rows.mapInPandas(put, "vid long, v array<double>, leaf long"))
+        self.rows = keep(rows.mapInPandas(put, f"vid long, v {self.kind}, leaf long"))
         self.recall_at = self._calibrate(sample.head(CALIBRATION))
         self.limit = int(np.searchsorted(self.recall_at, recall)) + 1
         self.limit = min(self.limit, tree.leaves)
@@ -194,7 +196,7 @@ class Index:
                     n = [len(x) for x in leaves]
                     yield pd.DataFrame({"qid": np.repeat(own.vid.to_numpy(), n), "q": np.repeat(own.v.to_numpy(), n), "leaf": np.concatenate(leaves).astype(np.int64)})
 
-        asked = self.rows.filter(chosen).select("vid", "v").repartition("vid").mapInPandas(walk, "qid long, q array<double>, leaf long")
+        asked = self.rows.filter(chosen).select("vid", "v").repartition("vid").mapInPandas(walk, f"qid long, q {self.kind}, leaf long")
         asked = keep(asked)
         chunks = lambda df, n: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias(n))  # noqa: E731  a row a leaf
         dealt = F.broadcast(chunks(self.rows, "nv").join(chunks(asked, "nq"), "leaf"))
