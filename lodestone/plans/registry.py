@@ -188,6 +188,31 @@ def join_theta_ge(t):
     return join(t.customer, t.nation, on("c_nationkey", ">=", "n_nationkey"), compare("c_custkey", "<", 500)).select("c_custkey", "n_nationkey")
 
 
+@query
+def join_equi_date_whole(t):
+    return join(t.lineitem, t.orders, on("l_shipdate", "=", "o_orderdate")).select("l_orderkey", "l_linenumber", "o_orderkey")
+
+
+@query
+def join_theta_lt_whole(t):
+    return join(t.customer, t.supplier, on("c_acctbal", "<", "s_acctbal")).select("c_custkey", "s_suppkey")
+
+
+@query
+def join_theta_gt_whole(t):
+    return join(t.customer, t.supplier, on("c_acctbal", ">", "s_acctbal")).select("c_custkey", "s_suppkey")
+
+
+@query
+def join_theta_le_whole(t):
+    return join(t.customer, t.nation, on("c_nationkey", "<=", "n_nationkey")).select("c_custkey", "n_nationkey")
+
+
+@query
+def join_theta_ge_whole(t):
+    return join(t.customer, t.nation, on("c_nationkey", ">=", "n_nationkey")).select("c_custkey", "n_nationkey")
+
+
 @query
 def join_theta_ne(t):
     return join(t.nation, t.region, on("n_regionkey", "<>", "r_regionkey")).select("n_nationkey", "r_regionkey")

@@ -40,6 +40,11 @@ SQL = {
     "join_theta_le": 'select c.c_custkey, n.n_nationkey from customer c, nation n where c.c_nationkey <= n.n_nationkey and c.c_custkey < 500',
     "join_theta_gt": 'select c.c_custkey, s.s_suppkey from customer c, supplier s where c.c_acctbal > s.s_acctbal and c.c_custkey < 100',
     "join_theta_ge": 'select c.c_custkey, n.n_nationkey from customer c, nation n where c.c_nationkey >= n.n_nationkey and c.c_custkey < 500',
+    "join_equi_date_whole": 'select l.l_orderkey, l.l_linenumber, o.o_orderkey from lineitem l, orders o where l.l_shipdate = o.o_orderdate',
+    "join_theta_lt_whole": 'select c.c_custkey, s.s_suppkey from customer c, supplier s where c.c_acctbal < s.s_acctbal',
+    "join_theta_le_whole": 'select c.c_custkey, n.n_nationkey from customer c, nation n where c.c_nationkey <= n.n_nationkey',
+    "join_theta_gt_whole": 'select c.c_custkey, s.s_suppkey from customer c, supplier s where c.c_acctbal > s.s_acctbal',
+    "join_theta_ge_whole": 'select c.c_custkey, n.n_nationkey from customer c, nation n where c.c_nationkey >= n.n_nationkey',
     "join_theta_ne": 'select n.n_nationkey, r.r_regionkey from nation n, region r where n.n_regionkey <> r.r_regionkey',
     "join_or_condition": 'select n.n_nationkey, s.s_suppkey from nation n, supplier s where n.n_nationkey = s.s_nationkey or n.n_regionkey > s.s_suppkey',
     "join_three_way": "select c.c_custkey, o.o_orderkey, l.l_linenumber from customer c, orders o, lineitem l where c.c_custkey = o.o_custkey and o.o_orderkey = l.l_orderkey and c.c_mktsegment = 'BUILDING'",
