@@ -21,9 +21,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
+def softmax(x: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of each row's picked column, and the probabilities of all."""
     x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    e = np.exp(x)
+    total = e.sum(axis=1, keepdims=True)
+    return x[np.arange(len(x)), pick] - np.log(total[:, 0]), np.divide(e, total, out=e)
 
 
 def lanes_of(lengths: np.ndarray, most: int) -> list[list[int]]:
@@ -93,14 +96,12 @@ class Gru:
 
     def outputs(self, states: np.ndarray, word: np.ndarray, grad: Gru | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of the words from the states before them; with grad, adds the weights' gradients and gives the states'."""
-        lc = log_softmax(states @ self.wc + self.bc)
         klass = word // SLOTS
-        rows = np.arange(len(word))
-        logp = lc[rows, klass].astype(np.float64)
+        lc, dc = softmax(states @ self.wc + self.bc, klass)
+        logp = lc.astype(np.float64)
         back = None
         if grad is not None:
-            dc = np.exp(lc)
-            dc[rows, klass] -= 1
+            dc[np.arange(len(word)), klass] -= 1
             grad.wc += states.T @ dc
             grad.bc += dc.sum(axis=0)
             back = dc @ self.wc.T
@@ -109,12 +110,10 @@ class Gru:
         for c in np.flatnonzero(np.diff(edge)):
             own = order[edge[c] : edge[c + 1]]
             s, slot = states[own], word[own] % SLOTS
-            lm = log_softmax(s @ self.wm[c] + self.bm[c])
-            pick = np.arange(len(own))
-            logp[own] += lm[pick, slot]
+            lm, dm = softmax(s @ self.wm[c] + self.bm[c], slot)
+            logp[own] += lm
             if grad is not None:
-                dm = np.exp(lm)
-                dm[pick, slot] -= 1
+                dm[np.arange(len(own)), slot] -= 1
                 grad.wm[c] += s.T @ dm
                 grad.bm[c] += dm.sum(axis=0)
                 back[own] += dm @ self.wm[c].T
@@ -155,29 +154,33 @@ class Gru:
     def window(self, w: np.ndarray, t: np.ndarray, h: np.ndarray, before: np.ndarray, start: int, adam: Adam) -> tuple[np.ndarray, np.ndarray]:
         read = self.inputs(w, t, before, start)
         fresh = (t < 0)[:, :, None]
-        tape, states = [], np.empty((*w.shape, HIDDEN), np.float32)
+        tape, states = np.empty((5, *w.shape, HIDDEN), np.float32), np.empty((*w.shape, HIDDEN), np.float32)
+        x = (self.x + self.b)[read]
         for i in range(len(w)):
             h = np.where(fresh[i], np.float32(0), h)
-            new, z, r, n, an = self.step(h, self.x[read[i]] + self.b)
-            tape.append((h, z, r, n, an))
+            new, *rest = self.step(h, x[i])
+            tape[0, i], tape[1, i], tape[2, i], tape[3, i], tape[4, i] = h, *rest
             states[i] = h = new
         grad = Gru(np.zeros_like(self.w))
         real = w >= 0
         _, back = self.outputs(states[real], w[real], grad)
         ds = np.zeros_like(states)
         ds[real] = back
+        old, z, r, n, an = tape
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (old - n) * z * (1 - z), an * r * (1 - r)  # of all steps at once
         dx = np.empty((*w.shape, 3 * HIDDEN), np.float32)
+        da = np.empty_like(dx)
         carry = np.zeros_like(h)
         for i in reversed(range(len(w))):
-            old, z, r, n, an = tape[i]
             d = ds[i] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (old - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            dx[i] = np.concatenate([dz, dr, dn], axis=1)
-            da = np.concatenate([dz, dr, dn * r], axis=1)
-            grad.u += old.T @ da
-            carry = np.where(fresh[i], np.float32(0), d * z + da @ self.u.T)
+            dn = d * to_n[i]
+            np.multiply(d, to_z[i], out=da[i, :, :HIDDEN])
+            np.multiply(dn, to_r[i], out=da[i, :, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn, r[i], out=da[i, :, 2 * HIDDEN :])
+            dx[i, :, 2 * HIDDEN :] = dn
+            carry = np.where(fresh[i], np.float32(0), d * z[i] + da[i] @ self.u.T)
+        dx[:, :, : 2 * HIDDEN] = da[:, :, : 2 * HIDDEN]
+        grad.u += old.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
         flat, number = dx.reshape(-1, 3 * HIDDEN), read.reshape(-1)
         grad.b += flat.sum(axis=0)
         order = np.argsort(number, kind="stable")

@@ -4,10 +4,10 @@ Counts of all training tokens give a smoothed unigram base. The most frequent wo
 a gated recurrent model (recurrent.py); a word without a number has the model's probability of number 0 times its
 share of the base's remaining mass, so probabilities sum to one over all training tokens and one unseen token.
 
-Training goes over every training document: in each round, a document gives a stretch of 1/SHARE of its words, at
-a place by hash that moves from round to round; each partition trains its own copy of the weights by truncated
-backpropagation, and the copies are averaged by words. Scoring takes every word of every document, with the state
-carried from window to window.
+Training takes every token of every training document once: the documents are dealt to rounds by hash; in each round,
+each partition trains its own copy of the weights by truncated backpropagation over its documents of that round, and
+the copies are averaged by words. Scoring takes every word of every document. In both, the state is carried from
+window to window of a document.
 
 Words are known by 64-bit hashes. The most frequent, HEAD of them at most, are looked up in a table of fixed size that goes to all
 workers; the documents' other words are joined with the counts.
@@ -33,8 +33,8 @@ from lodestone.llm.shared import keep
 from lodestone.llm.text import gather, mixed, pieces, prefix_hash, span_hash, words
 
 HEAD, NUMBERED = 1 << 18, CLASSES * SLOTS
-#: Rounds of training and the part of a document's words that a round takes.
-ROUNDS, SHARE = 3, 16
+#: Rounds of training; a document is in one of them, whole.
+ROUNDS = 3
 #: Distinct words counted in a worker, and words scored together.
 COUNTED, SCORED = 1_000_000, 2_000_000
 END = np.uint64(0x656E64)
@@ -138,11 +138,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(w[order], c[order], number[order], int(total["n"] or 0), int(total["v"]))
 
 
-def stretch(at: np.ndarray, salt: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words and sizes of the texts' stretches for a round."""
-    n = np.diff(at)
-    size = -(-n // SHARE)
-    return at[:-1] + (mixed(salt + np.uint64(turn + 1)) % (n - size + 1).astype(np.uint64)).astype(np.int64), size
+def in_round(training: DataFrame, turn: int, rounds: int) -> DataFrame:
+    """The texts of the documents that a round takes, by hash of id and text."""
+    return training.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(rounds)) == turn).select("text")
 
 
 def fit(training: DataFrame, vocab, rounds: int = ROUNDS) -> Gru:
@@ -157,14 +155,13 @@ def fit(training: DataFrame, vocab, rounds: int = ROUNDS) -> Gru:
             own = Gru(sent.value.copy())
             adam, learnt = Adam(len(own.w), rate=0.004 / (1 + turn)), 0
 
-            def stretches() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            def texts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 for b in batches:
                     for *_, data, at in pieces(b.column(0)):
                         w, of = tokens(data, at)
-                        begin, size = stretch(of, w[of[:-1]] + np.diff(of).astype(np.uint64), turn)
-                        yield vocab.value.numbers(w[gather(begin, size)]), np.r_[0, np.cumsum(size)]
+                        yield vocab.value.numbers(w), of
 
-            for _, ids, at in held(stretches(), SCORED // 8):
+            for _, ids, at in held(texts(), SCORED):
                 learnt += own.train(ids, at, start, adam)
             if learnt:
                 yield pa.RecordBatch.from_arrays([pa.array([int(mixed(np.array([learnt], np.uint64))[0] % np.uint64(64))]), pa.array([learnt]), pa.array([own.w.tobytes()], pa.binary())], ["g", "n", "w"])
@@ -178,7 +175,7 @@ def fit(training: DataFrame, vocab, rounds: int = ROUNDS) -> Gru:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["n", "w"])
 
-        copies = training.select("text").mapInArrow(train, "g long, n long, w binary")
+        copies = in_round(training, turn, rounds).mapInArrow(train, "g long, n long, w binary")
         found = copies.repartition(8, "g").mapInArrow(average, "n long, w binary").collect()  # 8 rows at most
         if found:
             n = sum(r["n"] for r in found)
