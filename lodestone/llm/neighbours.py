@@ -4,14 +4,15 @@ The tree is fitted on the driver on a sample of at most FIT_ROWS vectors; every
 A query walks the tree with a priority queue of nodes, the one whose centre has the largest inner product with it
 first, and so meets the leaves in the order in which they promise most. How many leaves are visited is calibrated:
 the exact neighbours of CALIBRATION queries among all vectors show how many leaves must be widened to until the
-recall aimed at is reached. The vectors in visited leaves are compared exactly, in double precision.
+recall aimed at is reached; a query whose leaves hold fewer candidates than asked for goes on until they hold enough.
+The vectors in visited leaves are compared exactly, in double precision.
 
 Leaves of any size are dealt out in chunks, and so are the queries that visit them, so no task holds a whole one.
 
 Defined results: vectors that are null, all zero, hold a null or non-finite component, or have another length than
 most of the sample take no part, neither as query nor as candidate. Rows with a query's own id are not its candidates.
 Ties go to the smaller id; equal vectors have equal scores. A null id is no query and is never found. With fewer
-candidates than asked for, all are returned if the visited leaves hold them. An empty table gives an empty result.
+candidates than asked for, all are returned. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,16 +77,17 @@ class Tree:
             todo.extend((kid, rows[near == k]) for k, kid in enumerate(kids))
         return out
 
-    def visits(self, q: np.ndarray, limit: int) -> list[list[int]]:
-        """For each query the first `limit` leaves, best bin first."""
+    def visits(self, q: np.ndarray, limit: int, sizes: np.ndarray | None = None, needs: np.ndarray | None = None) -> list[list[int]]:
+        """For each query the first `limit` leaves, best bin first; with the leaves' sizes, more until they hold what the query needs."""
         promise = q @ self.centres.T
         out = []
-        for p in promise:
+        for p, lacks in zip(promise, needs if sizes is not None else np.zeros(len(q), int)):
             queue, found = [(-p[0], 0)], []
-            while queue and len(found) < limit:
+            while queue and (len(found) < limit or lacks > 0):
                 _, node = heapq.heappop(queue)
                 if self.leaf_of[node] >= 0:
                     found.append(self.leaf_of[node])
+                    lacks -= 0 if sizes is None else sizes[found[-1]]
                 for kid in self.children[node]:
                     heapq.heappush(queue, (-p[kid], kid))
             out.append(found)
@@ -187,16 +189,20 @@ class Index:
         if self.tree is None:
             return self.rows.select(F.col("vid").alias("query_id"), F.lit(1).alias("rank"), F.col("vid").alias("vec_id"), F.lit(0.0).alias("score"))
         tree, limit, k = self.tree, self.limit, self.k
+        sizes = np.zeros(tree.leaves, np.int64)
+        for r in self.rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a leaf
+            sizes[r["leaf"]] = r["n"]
 
         def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for a in range(0, len(pdf), 512):
                     own = pdf.iloc[a : a + 512]
-                    leaves = tree.visits(stacked(own.v), limit)
+                    leaves = tree.visits(stacked(own.v), limit, sizes, k + own.n.to_numpy())
                     n = [len(x) for x in leaves]
                     yield pd.DataFrame({"qid": np.repeat(own.vid.to_numpy(), n), "q": np.repeat(own.v.to_numpy(), n), "leaf": np.concatenate(leaves).astype(np.int64)})
 
-        asked = self.rows.filter(chosen).select("vid", "v").repartition("vid").mapInPandas(walk, f"qid long, q {self.kind}, leaf long")
+        same = F.count(F.lit(1)).over(Window.partitionBy("vid"))  # rows with the query's own id are not its candidates
+        asked = self.rows.filter(chosen).select("vid", "v").repartition("vid").withColumn("n", same).mapInPandas(walk, f"qid long, q {self.kind}, leaf long")
         asked = keep(asked)
         chunks = lambda df, n: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias(n))  # noqa: E731  a row a leaf
         dealt = F.broadcast(chunks(self.rows, "nv").join(chunks(asked, "nq"), "leaf"))
