@@ -5,7 +5,8 @@ each shard gets its suffix order and Burrows-Wheeler transform, and the transfor
 refining their interleave: the interleave that is right for the first k symbols of the suffixes, read through
 the transforms and distributed stably by symbol, is right for the first k + 1. Suffixes of different shards are
 never compared or sorted again. Where neighbours part after k symbols, their common prefix is k, so after as
-many rounds as a window has symbols the blocks that have not parted are the repeated intervals.
+many rounds as a window has symbols the blocks that have not parted are the repeated intervals. A slice that stands
+for several copies weighs as many.
 
 A symbol is a block of STRIDE bytes, named by its 64-bit hash, and a slice is STRIDE strings, one for each
 phase, so a window of 200 bytes is five symbols wherever it starts.
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.repeats import Form, identified, marked, repeated_spans, with_spans
-from lodestone.llm.text import flat, gather, pieces, prefix_hash, span_hash
+from lodestone.llm.text import flat, gather, give_back, pieces, prefix_hash, window_hash
 
 WIDTH, GRAM, STRIDE = 200, 64, 40
 #: Bytes of slices in a shard.
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 18
 
 
 def dense(*keys: np.ndarray) -> np.ndarray:
@@ -106,8 +107,8 @@ def merge(shards: list[Transform], rounds: int) -> tuple[np.ndarray, np.ndarray]
     return z, block
 
 
-def index(body: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows of the slices occur twice among them, and the windows' offsets by slice."""
+def index(body: pa.Array, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of the slices, each there `weight` times, occur twice, and the windows' offsets by slice."""
     data, at = flat(body)
     size = np.diff(at)
     count = size - WIDTH + 1
@@ -116,7 +117,7 @@ def index(body: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(int(out_at[-1]), bool), out_at
     spots = size - STRIDE + 1
     start = gather(at[:-1], spots)
-    names = dense(span_hash(prefix_hash(data), start, start + STRIDE)) + 1
+    names = dense(window_hash(prefix_hash(data), STRIDE)[start]) + 1
     of = np.repeat(np.arange(len(size)), spots)
     cuts = np.unique(np.r_[0, np.searchsorted(at, np.arange(SHARD_BYTES, len(data), SHARD_BYTES)), len(size)])
     spot_at = np.r_[0, np.cumsum(spots)]
@@ -134,19 +135,19 @@ def index(body: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     whole = offset < count[of]  # a window of full width starts here
     row = np.flatnonzero(spot >= 0)
     row = row[whole[spot[row]]]
-    times = np.bincount(block[row])
+    times = np.bincount(block[row], weights=weight[of[spot[row]]])
     flags = np.zeros(int(out_at[-1]), bool)
     hit = spot[row[times[block[row]] > 1]]
     flags[out_at[of[hit]] + offset[hit]] = True
     return flags, out_at
 
 
-FORM = Form(WIDTH, GRAM, lambda data, at: (data, at), index)
+FORM = Form(WIDTH, GRAM, np.dtype(np.uint8), (16, 4, 1), lambda data, at: (data, at), index)
 
 
 def _spans(docs: DataFrame, text: str, key: str) -> DataFrame:
     rows = identified(docs, text, key)
-    return with_spans(rows, repeated_spans(rows, FORM, np.dtype(np.uint8)))
+    return with_spans(rows, repeated_spans(rows, FORM)).select("a", "text", "spans")
 
 
 def repeat_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -167,6 +168,7 @@ def repeat_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
                 out[2].extend(np.diff(spans))
                 out[3].extend(hashlib.sha256(kept[cut[i] : cut[i + 1]]).hexdigest() for i in range(stop - first))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.string())], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     return _spans(docs, text, key).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -183,9 +185,11 @@ def drop_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
                 kept, cut = data[~gone].tobytes(), at - np.r_[0, np.cumsum(gone)][at]
                 out.extend(kept[cut[i] : cut[i + 1]].decode("utf-8", "ignore") for i in range(stop - first))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["rest", "text"])
+        give_back()
 
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
-    rows = docs.select(rest.alias("rest"), F.col(key).alias("doc_id"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("fp"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = repeated_spans(rows.select("doc_id", "fp", "text"), FORM, np.dtype(np.uint8))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(rest.alias("rest"), F.col(key).alias("a"), F.xxhash64(body).alias("b"), body.alias("text"))
+    spans = repeated_spans(rows.select("a", "b", "text"), FORM)
     done = with_spans(rows, spans).select("rest", "text", "spans").mapInArrow(run, f"rest {rows.schema['rest'].dataType.simpleString()}, text string")
     return done.select([F.col("text").alias(c) if c == text else F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(f"rest.`{c}`").alias(c) for c, kind in docs.dtypes])

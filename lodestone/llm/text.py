@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
+#: Bytes of words that are hashed at once; a longer word is hashed by itself.
+HASHED_BYTES = 1 << 22
 #: True for bytes between words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 
@@ -56,6 +59,34 @@ def span_hash(p: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mixed((p[stop] - p[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
+def window_hash(p: np.ndarray, k: int) -> np.ndarray:
+    """span_hash of every span of k symbols."""
+    n = len(p) - k
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    return mixed((p[k:] - p[:n]) * powers(len(p))[1][:n] + np.uint64(k))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hash of every word of data, in runs of bounded size."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + HASHED_BYTES, "right")))
+        p = prefix_hash(data[starts[i] : ends[j - 1]])
+        out[i:j] = span_hash(p, starts[i:j] - starts[i], ends[i:j] - starts[i])
+        i = j
+    return out
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, so that workers that wait for their next task hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string or binary array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

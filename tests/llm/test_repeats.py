@@ -1,6 +1,7 @@
 """Suffix and substring dedup against brute force; the parts they are made of."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from lodestone.llm import fmindex, repeats, suffixes
-from lodestone.llm.repeats import Form
+from tests.llm.conftest import prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,18 +56,60 @@ def test_words_on_odd_rows(odd, odd_rows, none):
     assert fmindex.substring_report(none).count() == 0
 
 
-def test_bytes_on_documents(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+def test_on_all_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = docs.collect()
-    same(suffixes.repeat_report(spark.createDataFrame(rows, docs.schema)).collect(), [r.doc_id for r in rows], brute_bytes([r.text for r in rows]))
+    same(suffixes.repeat_report(docs).collect(), [r.doc_id for r in rows], brute_bytes([r.text for r in rows]))
+    same(fmindex.substring_report(docs).collect(), [r.doc_id for r in rows], brute_words([r.text for r in rows]))
 
 
-def test_large_groups_go_the_other_way(odd, odd_rows, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", 1)
+def test_large_groups_are_divided_down_to_single_windows(odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 1)
     same(suffixes.repeat_report(odd).collect(), [r[0] for r in odd_rows], brute_bytes([r[1] for r in odd_rows]))
     same(fmindex.substring_report(odd).collect(), [r[0] for r in odd_rows], brute_words([r[1] for r in odd_rows]))
 
 
+def test_a_frequent_passage_in_many_contexts(spark, monkeypatch):
+    """Its groups are divided at some levels only; batches are smaller than groups."""
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 1500)
+    rng = np.random.default_rng(11)
+    word = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    passage = word(50)
+    texts = [f"{word(int(rng.integers(1, 60)))} {passage} {word(int(rng.integers(1, 60)))}" for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same(suffixes.repeat_report(docs).collect(), range(60), brute_bytes(texts))
+    same(fmindex.substring_report(docs).collect(), range(60), brute_words(texts))
+
+
+def test_long_texts_in_short_stretches(monkeypatch):
+    symbols, at = np.arange(1000) % 97, np.array([0, 10, 400, 1000])
+    monkeypatch.setattr(repeats, "STRETCH", 64)
+    seen = [base + i for base, own, own_at in repeats.stretches(symbols, at, 30) for a, b in zip(own_at[:-1], own_at[1:]) for i in range(a, b - 29)]
+    assert seen == [*range(10, 371), *range(400, 971)]
+
+
+def test_rows_repeated_in_key_and_text(spark):
+    texts = [prose(random.Random(k), 100) for k in (1, 1, 2, 3)]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2]), (None, texts[3]), (None, texts[3])], "doc_id long, text string")
+    every = [*texts, texts[3]]
+    same(suffixes.repeat_report(docs).collect(), [1, 1, 2, None, None], brute_bytes(every))
+    same(fmindex.substring_report(docs).collect(), [1, 1, 2, None, None], brute_words(every))
+
+
+@pytest.mark.parametrize("module, kind", [(suffixes, np.uint8), (fmindex, np.uint64)])
+def test_copies_are_found_by_the_index_itself(module, kind):
+    body = pa.array([np.arange(k, k + module.WIDTH + 3).astype(kind).tobytes() for k in (0, 300, 600)], pa.binary())
+    flags, at = module.index(body, np.array([1, 3, 1]))
+    assert [flags[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [[k == 1] * 4 for k in range(3)]
+
+
+def test_the_index_is_smaller_than_its_text():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 18, 200_000)
+    assert fmindex.Wavelet(values).nbytes < 8 * len(values) / 2
+
+
 def test_texts_without_repeats(odd, odd_rows):
     out = suffixes.drop_repeats(odd)
     assert out.columns == odd.columns and out.count() == len(odd_rows)
@@ -101,7 +144,7 @@ def test_indexes_over_many_shards(module, kind, shards, seed, monkeypatch):
     want = [seen[tuple(s[i : i + module.WIDTH])] > 1 for s in strings for i in range(len(s) - module.WIDTH + 1)]
     for size in (1 << 20, 700, 50):
         monkeypatch.setattr(module, shards, size)
-        assert module.index(body)[0].tolist() == want
+        assert module.index(body, np.ones(len(body), int))[0].tolist() == want
 
 
 def test_merged_transforms_equal_one(rng=np.random.default_rng(9)):
@@ -132,7 +175,6 @@ def test_equal_windows_have_equal_anchors():
     text[500:800] = text[100:400]
     from lodestone.llm.text import prefix_hash
 
-    form = Form(50, 12, None, None)
-    _, first, n, anchor = repeats.runs(prefix_hash(text), np.array([0, 900]), form.width, form.gram)
+    _, first, n, anchor = repeats.runs(prefix_hash(text), np.array([0, 900]), 50, 12)
     of = np.repeat(anchor, n) - np.arange(851)
     assert n.sum() == 851 and (of[100:351] == of[500:751]).all()
