@@ -1,15 +1,16 @@
 """Mixing sources to target weights.
 
 The words of a source form one stream, in the order of a hash of the key, packed into blocks of BLOCK words
-(the last is shorter). A mix is a sequence of slots, SHARD to an output shard. For each shard, the counts of
-its sources are drawn from a multinomial in proportion to what each source has still to give, so that totals
-meet the targets to within a block. The j-th slot of a source reads block perm(j mod n) of its n blocks, with
+(the last is shorter). A mix is a sequence of slots, SHARD to an output shard. The counts of a shard's sources are
+drawn from multinomials in proportion to what each source has still to give: once for each halving of the sequence
+of shards that leads to it, so that each task finds the counts of its own shards, all tasks agree, and totals meet
+the targets to within a block. The j-th slot of a source reads block perm(j mod n) of its n blocks, with
 a pseudorandom permutation of its own for each pass j div n; slots and blocks are joined by this index.
 
 Defined results: sources are ordered by code point, null last, and an empty text or null text has size 0 and
-is never taken. No row is taken more than MAX_PASSES times. Rows that are equal in all columns are rows of
-their own. An empty table gives an empty result. Extra columns pass through `mix_texts` unchanged.
-The number of sources is taken to be small enough for the driver; rows, blocks and slots are not.
+is never taken. No row is taken more than MAX_PASSES times. Rows that are equal in all columns, or in the key, are
+rows of their own. An empty table gives an empty result. Extra columns pass through `mix_texts` unchanged.
+The number of sources is taken to be small enough for the driver; rows, blocks, slots and shards are not.
 """
 
 from __future__ import annotations
@@ -17,17 +18,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.rules import words_of
-from lodestone.llm.shared import keep
+from lodestone.llm.rules import let, words_of
+from lodestone.llm.shared import each_once, keep
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
-#: Words a block, slots an output shard, slots a row that is handed to one task, rows a run of the running sums.
-BLOCK, SHARD, DEAL, RUN = 64, 1 << 18, 1 << 13, 20_000
+#: Words a block, slots an output shard, slots that are filled together, rows a run of the running sums.
+BLOCK, SHARD, DEAL, RUN = 64, 1 << 18, 1 << 13, 4096
+#: Tasks that fill slots, at most.
+TASKS = 4096
 SEED = 20
 
 
@@ -49,19 +52,32 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MA
     return out
 
 
-def draw_counts(quota: list[int], shard: int = SHARD, seed: int = SEED) -> Iterator[tuple[int, int, int, int]]:
-    """(shard, source, first rank, count): multinomial counts of each output shard, drawn in proportion to what is left of the quotas."""
-    rng, left = np.random.default_rng(seed), np.array(quota, np.int64)
-    given, number = np.zeros(len(quota), np.int64), 0
-    while left.sum():
-        n, counts = int(min(shard, left.sum())), np.zeros(len(quota), np.int64)
+def counts_of(quota: np.ndarray, number: int, shard: int = SHARD, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """For an output shard, how many slots of each source lie before it, and its own counts."""
+    low, high = 0, -(-int(quota.sum()) // shard)
+    left, before = quota.astype(np.int64), np.zeros(len(quota), np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        rng, n = np.random.default_rng([seed, low, high]), (middle - low) * shard
+        own = np.zeros(len(quota), np.int64)
         while n:
-            more = np.minimum(rng.multinomial(n, (left - counts) / (left - counts).sum()), left - counts)
-            counts += more
+            more = np.minimum(rng.multinomial(n, (left - own) / (left - own).sum()), left - own)
+            own += more
             n -= int(more.sum())
+        if number < middle:
+            left, high = own, middle
+        else:
+            left, before, low = left - own, before + own, middle
+    return before, left
+
+
+def draw_counts(quota: list[int], shard: int = SHARD, seed: int = SEED) -> Iterator[tuple[int, int, int, int]]:
+    """(shard, source, first rank, count) of all output shards."""
+    quota = np.array(quota, np.int64)
+    for number in range(-(-int(quota.sum()) // shard)):
+        before, counts = counts_of(quota, number, shard, seed)
         for i in np.flatnonzero(counts):
-            yield number, int(i), int(given[i]), int(counts[i])
-        given, left, number = given + counts, left - counts, number + 1
+            yield number, int(i), int(before[i]), int(counts[i])
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -84,16 +100,15 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 class Mix:
     """The plan of a mix: placed rows, the sources' figures, and slots."""
 
-    def __init__(self, docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", block: int = BLOCK):
+    def __init__(self, docs: DataFrame, size: Column, key: Column, source: str = "source", block: int = BLOCK):
         self.spark, self.block = docs.sparkSession, block
-        rows = keep(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.cast("long").alias("size")))
+        rows = keep(docs.select(key.alias("key"), F.col(source).alias("source"), size.cast("long").alias("size")))
         found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # one row a source
         found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
         sizes = [r["size"] for r in found]
         goals = targets(sizes)
         self.blocks = [-(-s // block) for s in sizes]
-        quota = [min(MAX_PASSES * n, round(g * n / s)) if s else 0 for s, g, n in zip(sizes, goals, self.blocks)]
-        self.counts = list(draw_counts(quota))
+        self.quota = np.array([min(MAX_PASSES * n, round(g * n / s)) if s else 0 for s, g, n in zip(sizes, goals, self.blocks)], np.int64)
         self.sources = self.spark.createDataFrame(
             [(i, r["source"], s, g, n) for i, (r, s, g, n) in enumerate(zip(found, sizes, goals, self.blocks))], "no int, source string, source_size long, target double, blocks long"
         )
@@ -111,28 +126,28 @@ class Mix:
         return placed.select("no", "key", "size", "source_size", "target", (F.col("head") + F.col("upto") - F.col("size")).alias("start"))
 
     def slots(self) -> DataFrame:
-        """shard, slot, no and block for every slot of the mix."""
-        dealt = [(shard, no, first + k, min(DEAL, n - k), place + k) for shard, no, first, n, place in self._with_place() for k in range(0, n, DEAL)]
-        schema = "shard int, no int, first long, n long, place long"
-        deals = self.spark.createDataFrame(dealt, schema).repartition(max(1, min(len(dealt), 4096)), "shard", "no", "first")
-        blocks = np.array(self.blocks or [0], np.int64)
-
-        def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for shard, no, first, n, place in pdf.itertuples(index=False):
-                    rank = np.arange(first, first + n)
-                    size = np.full(n, blocks[no])
-                    passes = rank // blocks[no]
-                    yield pd.DataFrame({"shard": np.full(n, shard, np.int32), "slot": place + np.arange(n), "no": np.full(n, no, np.int32), "block": permuted(rank % blocks[no], size, (passes + 1) * 1_000_003 + no + SEED)})
-
-        return deals.mapInPandas(fill, "shard int, slot long, no int, block long")
-
-    def _with_place(self) -> Iterator[tuple[int, int, int, int, int]]:
-        at, place = None, 0
-        for shard, no, first, n in self.counts:
-            place = 0 if shard != at else place
-            yield shard, no, first, n, place
-            at, place = shard, place + n
+        """shard, slot, no and block for every slot of the mix. Each task draws the counts of the shards that it fills."""
+        quota, blocks = self.quota, np.array(self.blocks or [0], np.int64)
+        deals = -(-SHARD // DEAL)
+        all_deals = -(-int(quota.sum()) // SHARD) * deals
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, ends = None, None
+            for b in batches:
+                for deal in b.column(0).to_pylist():
+                    shard, part = divmod(deal, deals)
+                    if shard != at:
+                        before, counts = counts_of(quota, shard)
+                        at, ends = shard, np.cumsum(counts)
+                    slot = np.arange(part * DEAL, min((part + 1) * DEAL, ends[-1]))
+                    if not len(slot):
+                        continue
+                    no = np.searchsorted(ends, slot, "right")
+                    passes, index = np.divmod(before[no] + slot - (ends - counts)[no], blocks[no])
+                    block = permuted(index, blocks[no], (passes + 1) * 1_000_003 + no + SEED)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), shard)), pa.array(slot), pa.array(no.astype(np.int32)), pa.array(block)], ["shard", "slot", "no", "block"])
+
+        return self.spark.range(0, all_deals, 1, max(1, min(TASKS, all_deals))).mapInArrow(fill, "shard long, slot long, no int, block long")
 
     def segments(self) -> DataFrame:
         """no, block, key, start and words: the part of each row in each block that it touches."""
@@ -151,7 +166,7 @@ class Mix:
 
 def mix_report(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """key, size, source_size, target and taken for every row."""
-    mix = Mix(docs, word_count(F.col(text)), key, source)
+    mix = Mix(docs, word_count(F.col(text)), F.col(key), source)
     got = mix.taken().select("no", F.col("key").alias("_key"), F.col("start").alias("_start"), "taken")
     same = (F.col("no") == F.col("_no")) & F.col("key").eqNullSafe(F.col("_key")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0)
     out = mix.rows.join(got.withColumnRenamed("no", "_no"), same, "left")
@@ -164,7 +179,7 @@ def word_count(text: Column) -> Column:
 
 def mix_blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """The mix itself: shard, slot, source, block, key, and the first word and number of words that the slot takes from the row."""
-    mix = Mix(docs, word_count(F.col(text)), key, source)
+    mix = Mix(docs, word_count(F.col(text)), F.col(key), source)
     part = mix.slots().join(mix.segments(), ["no", "block"]).join(F.broadcast(mix.sources.select("no", "source")), "no")
     return part.select("shard", "slot", "source", "block", F.col("key").alias(key), F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0)).alias("first_word"), "words")
 
@@ -173,16 +188,22 @@ def mix_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", source:
     """docs as the mix takes them, with the same columns: a row for each of the passes that takes something of it.
 
     A pass that takes all words of a row keeps its text as it is; otherwise the words that it takes are joined by
-    blanks. The key is taken to be unique. n_chars, where there is such a column, is set anew.
+    blanks. Rows are told apart by the key and a hash of all columns; of rows that are equal in all, each takes its
+    own part. n_chars, where there is such a column, is set anew.
     """
-    mix = Mix(docs, word_count(F.col(text)), key, source)
+    every = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    ident = F.struct(F.col(key).alias("key"), every.alias("hash"))
+    mix = Mix(docs, word_count(F.col(text)), ident, source)
     got = mix.taken().select(F.col("key").alias("_key"), F.col("start").alias("_start"), F.col("size").alias("_size"), "blocks")
     b = F.lit(BLOCK)
     passes = got.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.array_max(F.col("blocks.times")).cast("int"))))
-    in_pass = F.transform(F.filter("blocks", lambda x: x["times"] >= F.col("_pass")), lambda x: x["block"])
+    in_pass = F.array_sort(F.transform(F.filter("blocks", lambda x: x["times"] >= F.col("_pass")), lambda x: x["block"]))
     passes = passes.select("_key", "_start", "_size", in_pass.alias("_in"))
     whole = F.size("_in") == F.floor((F.col("_start") + F.col("_size") - 1) / b) - F.floor(F.col("_start") / b) + 1
-    some = F.array_join(F.filter(words_of(F.col("_text")), lambda w, i: F.array_contains(F.col("_in"), F.floor((F.col("_start") + i) / b))), " ")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_text"))
+    first = lambda block: F.greatest(block * b - F.col("_start"), F.lit(0))
+    part = lambda w, block: F.array_join(F.slice(w, (first(block) + 1).cast("int"), ((block + 1) * b - F.col("_start") - first(block)).cast("int")), " ")
+    some = let(words_of(F.col("_text")), lambda w: F.array_join(F.transform("_in", lambda block: part(w, block)), " "))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), ident.alias("_id"), F.col(text).alias("_text"))
+    rows = each_once(rows, mix.rows.select(F.col("key").alias("_id")), ["_id"])
     joined = rows.join(passes, F.col("_id").eqNullSafe(F.col("_key"))).withColumn("_out", F.when(whole, F.col("_text")).otherwise(some))
     return joined.select([F.col("_out").alias(c) if c == text else F.length("_out").cast(kind).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c, kind in docs.dtypes])

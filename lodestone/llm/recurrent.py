@@ -1,7 +1,7 @@
 """A gated recurrent language model in numpy: class-factored softmax, truncated backpropagation, states carried on.
 
-Words have numbers from 0 to CLASSES * SLOTS - 1, by frequency; class = number // SLOTS. The probability of a word
-is that of its class times that of the word in its class. Number 0 stands for all words without a number.
+Words and buckets of words have numbers from 0 to CLASSES * SLOTS - 1; class = number // SLOTS. The probability of a
+number is that of its class times that of the number in its class.
 """
 
 from __future__ import annotations
@@ -12,13 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 
 CLASSES, SLOTS, HIDDEN = 40, 40, 32
-#: Steps of a window of truncated backpropagation, steps of a window of scoring; lanes that run side by side.
-STEPS, SCORE_STEPS, LANES, SCORE_LANES = 16, 64, 128, 512
-RATE = 0.004
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+#: Steps of a window of truncated backpropagation, steps of a window of scoring; most lanes that run side by side.
+STEPS, SCORE_STEPS, LANES, SCORE_LANES = 16, 64, 256, 512
+#: Windows that a replica's training is to have before it gets more lanes, and lanes at least.
+WINDOWS, FEW_LANES = 256, 8
+RATE = 0.01
 
 
 def softmax(x: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +40,11 @@ def lanes_of(lengths: np.ndarray, most: int) -> list[list[int]]:
     return lanes
 
 
+def lanes_for(words: int) -> int:
+    """Lanes for training on so many words: more only as far as WINDOWS updates are left."""
+    return max(FEW_LANES, min(LANES, words // (STEPS * WINDOWS)))
+
+
 def matrices(ids: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Steps by lanes: the number of the word, -1 where a lane has ended, and the text it belongs to, as -text - 1 at its first word."""
     lanes = lanes_of(np.diff(at), most)
@@ -82,12 +85,38 @@ class Gru:
         m.bm[:] = np.log(share / share.sum(axis=1, keepdims=True))
         return m
 
-    def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        a = h @ self.u
-        zr = sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-        return n + z * (h - n), z, r, n, a[:, 2 * HIDDEN :]
+    def step(self, old: np.ndarray, x: np.ndarray, out: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
+        """One step from the states old and the inputs' part x of the gates: the new states, the gates z and r side by side, the states' part of the candidate, the candidate."""
+        new, zr, an, n = out or [np.empty((len(old), k * HIDDEN), np.float32) for k in (1, 2, 1, 1)]
+        a = old @ self.u
+        np.add(x[:, : 2 * HIDDEN], a[:, : 2 * HIDDEN], out=zr)
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        an[:] = a[:, 2 * HIDDEN :]
+        np.multiply(zr[:, HIDDEN:], an, out=n)
+        n += x[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        np.subtract(old, n, out=new)
+        new *= zr[:, :HIDDEN]
+        new += n
+        return new, zr, an, n
+
+    def run(self, word: np.ndarray, text: np.ndarray, h: np.ndarray, before: np.ndarray, start: int) -> tuple[np.ndarray, ...]:
+        """What each step reads, the lanes that begin a text at each step, the states before each step, gates, candidates' parts, candidates and states after."""
+        read = self.inputs(word, text, before, start)
+        x = (self.x + self.b)[read]
+        begin = [np.flatnonzero(row < 0) for row in text]
+        shape = (*word.shape, HIDDEN)
+        old, an, n, states = (np.empty(shape, np.float32) for _ in range(4))
+        zr = np.empty((*word.shape, 2 * HIDDEN), np.float32)
+        for i in range(len(word)):
+            old[i] = h
+            old[i, begin[i]] = 0
+            self.step(old[i], x[i], (states[i], zr[i], an[i], n[i]))
+            h = states[i]
+        return read, begin, old, zr, an, n, states
 
     def inputs(self, word: np.ndarray, text: np.ndarray, before: np.ndarray, start: int) -> np.ndarray:
         """The number that each step reads: the word before, or start at the first word of a text."""
@@ -107,16 +136,20 @@ class Gru:
             back = dc @ self.wc.T
         order = np.argsort(klass, kind="stable")
         edge = np.searchsorted(klass[order], np.arange(CLASSES + 1))
+        states, slots = states[order], word[order] % SLOTS
+        inside, back_in = np.empty(len(word), np.float32), np.empty_like(states) if grad is not None else None
         for c in np.flatnonzero(np.diff(edge)):
-            own = order[edge[c] : edge[c + 1]]
-            s, slot = states[own], word[own] % SLOTS
-            lm, dm = softmax(s @ self.wm[c] + self.bm[c], slot)
-            logp[own] += lm
+            own = slice(edge[c], edge[c + 1])
+            s, slot = states[own], slots[own]
+            inside[own], dm = softmax(s @ self.wm[c] + self.bm[c], slot)
             if grad is not None:
-                dm[np.arange(len(own)), slot] -= 1
-                grad.wm[c] += s.T @ dm
-                grad.bm[c] += dm.sum(axis=0)
-                back[own] += dm @ self.wm[c].T
+                dm[np.arange(len(slot)), slot] -= 1
+                grad.wm[c] = s.T @ dm
+                grad.bm[c] = dm.sum(axis=0)
+                np.matmul(dm, self.wm[c].T, out=back_in[own])
+        logp[order] += inside
+        if grad is not None:
+            back[order] += back_in
         return logp, back
 
     def score(self, ids: np.ndarray, at: np.ndarray, start: int) -> np.ndarray:
@@ -124,18 +157,14 @@ class Gru:
         word, text = matrices(ids, at, SCORE_LANES)
         out = np.zeros(len(at) - 1)
         h, before = np.zeros((word.shape[1], HIDDEN), np.float32), np.zeros(word.shape[1], np.int32)
-        xb = self.x + self.b
         for k in range(0, len(word), SCORE_STEPS):
             w, t = word[k : k + SCORE_STEPS], text[k : k + SCORE_STEPS]
             live = np.flatnonzero(w[0] >= 0)
             w, t, h, before = w[:, live], t[:, live], h[live], before[live]
             if k and len(live) < word.shape[1]:
                 word, text = word[:, live], text[:, live]
-            read = self.inputs(w, t, before, start)
-            states = np.empty((len(w), len(live), HIDDEN), np.float32)
-            for i in range(len(w)):
-                h = self.step(np.where(t[i][:, None] < 0, np.float32(0), h), xb[read[i]])[0]
-                states[i] = h
+            states = self.run(w, t, h, before, start)[-1]
+            h = states[-1]
             real = w >= 0
             logp, _ = self.outputs(states[real], w[real])
             of = t[real]
@@ -143,56 +172,52 @@ class Gru:
             before = w[-1]
         return out
 
-    def train(self, ids: np.ndarray, at: np.ndarray, start: int, adam: Adam) -> int:
+    def train(self, ids: np.ndarray, at: np.ndarray, start: int, adam: Adam, lanes: int = LANES) -> int:
         """One pass over the texts, an update a window. Returns the words learnt from."""
-        word, text = matrices(ids, at, LANES)
+        word, text = matrices(ids, at, lanes)
         h, before = np.zeros((word.shape[1], HIDDEN), np.float32), np.zeros(word.shape[1], np.int32)
         for k in range(0, len(word), STEPS):
             h, before = self.window(word[k : k + STEPS], text[k : k + STEPS], h, before, start, adam)
         return int((word >= 0).sum())
 
     def window(self, w: np.ndarray, t: np.ndarray, h: np.ndarray, before: np.ndarray, start: int, adam: Adam) -> tuple[np.ndarray, np.ndarray]:
-        read = self.inputs(w, t, before, start)
-        fresh = (t < 0)[:, :, None]
-        tape, states = np.empty((5, *w.shape, HIDDEN), np.float32), np.empty((*w.shape, HIDDEN), np.float32)
-        x = (self.x + self.b)[read]
-        for i in range(len(w)):
-            h = np.where(fresh[i], np.float32(0), h)
-            new, *rest = self.step(h, x[i])
-            tape[0, i], tape[1, i], tape[2, i], tape[3, i], tape[4, i] = h, *rest
-            states[i] = h = new
+        read, begin, old, zr, an, n, states = self.run(w, t, h, before, start)
         grad = Gru(np.zeros_like(self.w))
         real = w >= 0
         _, back = self.outputs(states[real], w[real], grad)
         ds = np.zeros_like(states)
         ds[real] = back
-        old, z, r, n, an = tape
+        z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
         to_n, to_z, to_r = (1 - z) * (1 - n * n), (old - n) * z * (1 - z), an * r * (1 - r)  # of all steps at once
-        dx = np.empty((*w.shape, 3 * HIDDEN), np.float32)
-        da = np.empty_like(dx)
-        carry = np.zeros_like(h)
+        da, dn = np.empty((*w.shape, 3 * HIDDEN), np.float32), np.empty_like(states)
+        carry, down = np.zeros_like(h), np.ascontiguousarray(self.u.T)
         for i in reversed(range(len(w))):
-            d = ds[i] + carry
-            dn = d * to_n[i]
+            d = ds[i]
+            d += carry
+            np.multiply(d, to_n[i], out=dn[i])
             np.multiply(d, to_z[i], out=da[i, :, :HIDDEN])
-            np.multiply(dn, to_r[i], out=da[i, :, HIDDEN : 2 * HIDDEN])
-            np.multiply(dn, r[i], out=da[i, :, 2 * HIDDEN :])
-            dx[i, :, 2 * HIDDEN :] = dn
-            carry = np.where(fresh[i], np.float32(0), d * z[i] + da[i] @ self.u.T)
-        dx[:, :, : 2 * HIDDEN] = da[:, :, : 2 * HIDDEN]
+            np.multiply(dn[i], to_r[i], out=da[i, :, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn[i], r[i], out=da[i, :, 2 * HIDDEN :])
+            np.matmul(da[i], down, out=carry)
+            d *= z[i]
+            carry += d
+            carry[begin[i]] = 0
         grad.u += old.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
-        flat, number = dx.reshape(-1, 3 * HIDDEN), read.reshape(-1)
+        da[:, :, 2 * HIDDEN :] = dn  # from here on, of the inputs' part
+        flat, number = da.reshape(-1, 3 * HIDDEN), read.reshape(-1)
         grad.b += flat.sum(axis=0)
         order = np.argsort(number, kind="stable")
         head = np.flatnonzero(np.r_[True, np.diff(number[order]) > 0])
         grad.x[number[order][head]] += np.add.reduceat(flat[order], head)
         adam.update(self.w, grad.w / max(1, int(real.sum())))
-        return h, w[-1]
+        return states[-1], w[-1]
 
 
 class Adam:
-    def __init__(self, n: int, rate: float = RATE):
-        self.m, self.v, self.k, self.rate = np.zeros(n, np.float32), np.zeros(n, np.float32), 0, rate
+    """Steps of Adam; later rounds take smaller ones."""
+
+    def __init__(self, n: int, turn: int = 0, rate: float = RATE):
+        self.m, self.v, self.k, self.rate = np.zeros(n, np.float32), np.zeros(n, np.float32), 0, rate / (1 + turn)
 
     def update(self, w: np.ndarray, g: np.ndarray) -> None:
         self.k += 1

@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Each rule is a predicate that rejects a text. The cost and the rejection rate of each are estimated on a
-sample of documented size, the rules are put in the order of rejections per cost, and one CASE expression
+Each rule is a predicate that rejects a text. The cost of each is clocked, and its rejection rate counted, on a
+random sample of documented size, the rules are put in the order of rejections per cost, and one CASE expression
 evaluates them in this order, so a rule's expression is not computed for rows that an earlier rule rejects.
-The order changes the cost alone, never the verdict: a text is kept if no rule rejects it.
+The words, which most rules read, are split once a row. The order changes the cost alone, never the verdict: a
+text is kept if no rule rejects it.
 
 Defined results: a null text has no words (all counts 0, base_failed true); an empty text likewise. Texts
 of any length are taken whole. Repeated rows give repeated results. Extra columns of the input are ignored
@@ -12,16 +13,19 @@ unless named in `keep`; working columns live in one struct, so their names can't
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import keep
+
 #: Blanks between words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Rows on which cost and selectivity are estimated.
-SAMPLE_ROWS = 2000
+#: Rows, in the mean, on which cost and selectivity are estimated; partitions that hold them; least cost of a rule in seconds.
+SAMPLE_ROWS, SAMPLE_PARTS, LEAST = 1000, 4, 1e-3
 
 
 def let(value: Column, body) -> Column:
@@ -96,10 +100,10 @@ BASE = (
     Rule("short", lambda m: m["n_words"] < 50, ("n_words",)),
     Rule("repeats", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"], ("n_words", "n_repeat_words")),
 )
-#: Beyond the base: texts made of symbols, of endless or one-letter words, or of one line again and again.
+#: Beyond the base: texts made of symbols, of words with under 2 or over 16 characters in the mean, or of one line again and again.
 FURTHER = (
     Rule("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"], ("n_words", "n_symbols")),
-    Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 16 * m["n_words"]), ("n_words", "word_chars")),
+    Rule("word_length", lambda m: F.abs(m["word_chars"] - 9 * m["n_words"]) > 7 * m["n_words"], ("n_words", "word_chars")),
     Rule("lines", lambda m: 10 * m["n_dup_lines"] > m["n_words"], ("n_words", "n_dup_lines")),
 )
 
@@ -112,20 +116,26 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """(cost, rejection rate) of each rule on the first `rows` rows; tasks start until these are found, and figures alone reach the driver.
+    """(seconds, rejection rate) of each rule on a random sample of about `rows` rows; figures alone reach the driver.
 
-    The cost of a rule is the work of its inputs in units of one pass over the text's characters; sorting
-    the windows of n words counts as n * log2(n). The sample decides the order of the rules alone.
+    A measure's seconds are the shorter of two runs over the sample, less those of splitting words, which all rules share.
     """
+    sample = keep(docs.select(F.col(text).alias("text")).sample(min(1.0, rows / max(1, docs.count())), 7).coalesce(SAMPLE_PARTS))
     m = F.col("_m")
-    figures = [r.rejects(m).cast("double").alias(r.name) for r in rules]
-    found = measure(docs, text, (text,)).select(*figures, m["n_words"].alias("_words"), F.coalesce(F.length(text), F.lit(0)).alias("_chars")).limit(rows).collect()
-    mean_of = lambda c: sum(r[c] for r in found) / max(1, len(found))
-    mean, n = mean_of("_chars"), mean_of("_words")
-    unit = {"n_words": 2.0, "word_chars": 1.0, "n_symbols": 1.0, "n_dup_lines": 2.0}
-    sort = 2.0 + 8.0 * n * max(1, int(n)).bit_length() / (mean + 1.0)
-    cost = unit | {"n_repeat_words": sort}
-    return {r.name: (sum(cost[i] for i in r.inputs), mean_of(r.name)) for r in rules}
+    rates = measure(sample, "text", ()).select(*[F.avg(r.rejects(m).cast("double")).alias(r.name) for r in rules]).first()
+    took = {}
+    t = F.coalesce(F.col("text"), F.lit(""))
+    for name in dict.fromkeys(("n_words", *(i for r in rules for i in r.inputs))):
+        value = sample.select(let(words_of(t), lambda w, f=MEASURES[name]: F.size(w) + f(t, w)).alias("v")).agg(F.sum("v"))
+        took[name] = min(clocked(value), clocked(value))
+    split = took["n_words"]
+    return {r.name: (sum(max(LEAST, took[i] - split) for i in r.inputs), float(rates[r.name] or 0)) for r in rules}
+
+
+def clocked(df: DataFrame) -> float:
+    began = time.perf_counter()
+    df.collect()  # one row
+    return time.perf_counter() - began
 
 
 def ordered(rules: tuple[Rule, ...], figures: dict[str, tuple[float, float]]) -> list[Rule]:
@@ -141,16 +151,11 @@ def cascade(rules: list[Rule], m: Column) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def lazy_measures(text: str = "text") -> dict[str, Column]:
-    """The measures as expressions of the text, for cascades that need not return them."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return {k: f(t, words_of(t)) for k, f in MEASURES.items()}
-
-
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that no rule rejects, with all their columns. A rule's measures are computed when it is reached."""
     rules = ordered(BASE + FURTHER, estimate(docs, BASE + FURTHER, text))
-    return docs.filter(cascade(rules, lazy_measures(text)).isNull())
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.filter(let(words_of(t), lambda w: cascade(rules, {k: f(t, w) for k, f in MEASURES.items()})).isNull())
 
 
 def quality_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder stands in only where the session names none, as in tests."""
+    """spark.checkpoint.dir, or where that is unset a folder beside the tables of spark.sql.warehouse.dir, which driver and executors share as well."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lodestone"
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -41,3 +38,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder by Hadoop's file systems."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def same(left: list, right: list):
+    """The condition that columns are equal, nulls included."""
+    return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(left, right)])
+
+
+def each_once(df: DataFrame, of: DataFrame, by: list[str]) -> DataFrame:
+    """df with one of the rows that agree in the columns `by`. of: df or what it was taken from.
+
+    What occurs twice is found by counting `by` alone, and only such rows are moved.
+    """
+    twice = keep(of.groupBy(*by).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)]))
+    if twice.isEmpty():
+        return df
+    again = same([F.col(c) for c in by], [F.col(f"_{k}") for k in range(len(by))])
+    return df.join(twice, again, "left_anti").unionByName(df.join(twice, again, "left_semi").dropDuplicates(by))

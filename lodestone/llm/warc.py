@@ -38,6 +38,8 @@ from lodestone.llm.shared import fresh_path, keep
 REVISIT_LEAST = 100
 #: Bytes of an archive after which a new one begins; capture lines in a block of the index; rows that are Python objects at once.
 ARCHIVE_BYTES, BLOCK_LINES, ROWS = 64 << 20, 500, 256
+#: Bytes of payload a part of the archives, and of archives that one task reads back, in the mean.
+PART_BYTES, READ_BYTES = 256 << 20, 4 << 20
 CRLF = b"\r\n"
 
 
@@ -136,7 +138,7 @@ def write_archives(pages: DataFrame, folder: str, parts: int | None = None) -> D
         files, base = open_fs(folder)
         files.create_dir(base, recursive=True)
         name, lines, blocks, archive, at, number = uuid.uuid4().hex, [], [], None, 0, 0
-        index, index_at, low, high, total, mark = None, 0, None, None, 0, None
+        index, index_at, low, high, total, mark, size = None, 0, None, None, 0, None, 0
 
         def flush() -> None:
             nonlocal index, index_at
@@ -164,7 +166,7 @@ def write_archives(pages: DataFrame, folder: str, parts: int | None = None) -> D
                     member = record("response", row["page_id"], row["url"], row["payload"], row["digest"])
                 archive.write(member)
                 lines.append(capture_line(row["key"], row["page_id"], number, at, len(member)))
-                at, total, high = at + len(member), total + 1, row["key"]
+                at, total, high, size = at + len(member), total + 1, row["key"], size + len(member)
                 low = row["key"] if low is None else low
                 if len(lines) == BLOCK_LINES:
                     flush()
@@ -176,12 +178,12 @@ def write_archives(pages: DataFrame, folder: str, parts: int | None = None) -> D
         if total:
             with files.open_output_stream(f"{base}/{name}.dir", compression=None) as f:
                 f.write("".join(f"{first}\t{o}\t{n}\n" for first, o, n in blocks).encode())
-            yield pa.RecordBatch.from_pylist([{"part": name, "low": low, "high": high, "records": total, "archives": number + 1, "blocks": len(blocks)}], schema=MANIFEST)
+            yield pa.RecordBatch.from_pylist([{"part": name, "low": low, "high": high, "records": total, "archives": number + 1, "blocks": len(blocks), "bytes": size}], schema=MANIFEST)
 
-    return keep(in_order.mapInArrow(write, "part string, low string, high string, records long, archives int, blocks int"))
+    return keep(in_order.mapInArrow(write, "part string, low string, high string, records long, archives int, blocks int, bytes long"))
 
 
-MANIFEST = pa.schema([("part", pa.string()), ("low", pa.string()), ("high", pa.string()), ("records", pa.int64()), ("archives", pa.int32()), ("blocks", pa.int32())])
+MANIFEST = pa.schema([("part", pa.string()), ("low", pa.string()), ("high", pa.string()), ("records", pa.int64()), ("archives", pa.int32()), ("blocks", pa.int32()), ("bytes", pa.int64())])
 
 
 def capture_line(key: str, page_id: int | None, archive: int, offset: int, length: int) -> str:
@@ -265,26 +267,32 @@ def sortable(line: str) -> tuple[bytes, str]:
 
 
 def read_blocks(manifest: DataFrame, folder: str) -> DataFrame:
-    """Every record by way of the index: a task per block reads its capture lines and then the records' byte ranges."""
-    blocks = manifest.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).repartition("part", "block")
+    """Every record by way of the index: for each block, its capture lines and then the records' byte ranges. Blocks are dealt to as many tasks as their bytes ask for."""
+    tasks = manifest.agg(F.ceil(F.sum("bytes") / READ_BYTES)).first()[0] or 1
+    blocks = manifest.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).repartition(tasks, "part", "block").sortWithinPartitions("part", "block")
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, own in pdf.groupby("part"):
-                part = Part(folder, name)
-                for i in sorted(own["block"]):
-                    out = []
-                    for line in part.block(i):
-                        key, page, archive, offset, length = line.split(" ")
-                        fields, payload = part.read(int(archive), int(offset), int(length))
-                        out.append(found(page_number(page), fields, payload))
-                    yield pd.DataFrame(out, columns=FOUND)
-                part.close()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = None
+        for b in batches:
+            for name, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if part is None or part.name != name:
+                    if part:
+                        part.close()
+                    part = Part(folder, name)
+                out = []
+                for line in part.block(i):
+                    key, page, archive, offset, length = line.split(" ")
+                    fields, payload = part.read(int(archive), int(offset), int(length))
+                    out.append(found(page_number(page), fields, payload))
+                # column by column: ids keep all their bits beside nulls
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), FOUND)], schema=FOUND)
+        if part:
+            part.close()
 
-    return blocks.mapInPandas(scan, "page_id long, n long, digest string, record_type string, refers_to long, refers_url string").withColumn("refers_url", F.nullif("refers_url", F.lit("")))
+    return blocks.mapInArrow(scan, "page_id long, n long, digest string, record_type string, refers_to long, refers_url string").withColumn("refers_url", F.nullif("refers_url", F.lit("")))
 
 
-FOUND = ["page_id", "n", "digest", "record_type", "refers_to", "refers_url"]
+FOUND = pa.schema([("page_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("refers_url", pa.string())])
 
 
 def found(page_id: int | None, fields: dict[str, str], payload: bytes) -> tuple:
@@ -339,7 +347,9 @@ def lookup(manifest: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from archives written to folder."""
     folder = folder or fresh_path(spark, "warc")
-    manifest = write_archives(with_revisits(pages), folder)
+    payload = pages.agg(F.sum(F.octet_length(F.coalesce(F.col("html"), F.lit(""))))).first()[0] or 0
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-payload // PART_BYTES))
+    manifest = write_archives(with_revisits(pages), folder, parts)
     back = keep(read_blocks(manifest, folder))
     wanted = back.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), F.col("refers_url").alias("url")).distinct()
     seen = lookup(manifest, folder, wanted).select(F.col("page_id").alias("_page"), F.col("n").alias("_n"), F.col("digest").alias("_digest"))

@@ -27,3 +27,18 @@ def test_all_leaves_where_candidates_are_few():
     few = tree.visits(q, 2, sizes, np.array([0, 5, tree.leaves, 10**6]))
     assert [len(x) for x in few] == [2, 5, tree.leaves, tree.leaves]
     assert [x[:2] for x in few] == tree.visits(q, 2)
+
+
+def test_rows_of_one_id_are_one_query(spark):
+    """The 20 best rows over both vectors of the query, each once, though there are ids with two rows among the candidates."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in [0, 0, *range(1, 60), 7, 8]]
+    rows[-1] = (8, rows[9][1])  # equal to the other row of its id
+    got = neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for query in (0, 20, 40):
+        score = np.max([(x * q).sum(axis=1) for q in x[ids == query]], axis=0)
+        order = [k for k in np.lexsort((ids, -score)) if ids[k] != query][:20]
+        own = got[got.query_id == query].sort_values("rank")
+        assert own.vec_id.tolist() == ids[order].tolist() and own["rank"].tolist() == list(range(1, 21))
+        assert np.allclose(own.score, score[order])

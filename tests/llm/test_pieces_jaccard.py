@@ -117,8 +117,35 @@ def test_intersections_both_ways():
     sets = [np.unique(np.r_[rng.choice(common, 150), rng.integers(0, 400, 60).astype(np.uint64)]) for _ in range(40)]
     i, j = np.triu_indices(40, 1)
     want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
-    assert jaccard.intersections(sets, i, j).tolist() == want
-    assert jaccard.intersections(sets, i[:30], j[:30]).tolist() == want[:30]
+    common = jaccard.Common(sets, 0)
+    assert common.sizes(i[:30], j[:30]).tolist() == want[:30] and common.total is None
+    assert common.sizes(i, j).tolist() == want and common.total is not None
+    across = (i < 15) & (j >= 15)
+    assert jaccard.Common(sets, 15).sizes(i[across], j[across]).tolist() == np.array(want)[across].tolist()
+
+
+def test_candidates_in_chunks_are_those_at_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 16, jaccard.VALUES)
+    sig = np.where(rng.random((50, jaccard.VALUES)) < 0.2, rng.integers(0, 1 << 16, (50, jaccard.VALUES)), base).astype(np.uint16)
+    pairs = lambda left: sorted((int(a), int(b)) for i, j in jaccard.candidates(sig, 3, left) for a, b in zip(i, j))
+    all_pairs = pairs(0)
+    assert len(all_pairs) > 100 and pairs(20) == [(a, b) for a, b in all_pairs if a < 20 <= b]
+    monkeypatch.setattr(jaccard, "CELLS", 64)
+    assert pairs(0) == all_pairs
+
+
+def test_blocks_are_bounded_in_bytes(odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 2000)
+    got = jaccard.jaccard_classes(odd).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_classes([(i, t) for i, t, *_ in odd_rows])))
+
+
+def test_one_row_of_each_class_stays(spark):
+    near = [" ".join(f"w{k}" for k in range(a, a + 100)) for a in (0, 3)]
+    rows = [(1, near[0]), (1, near[0]), (2, near[1]), (3, "alone"), (3, "alone"), (None, "no id"), (None, "no id"), (None, near[0]), (5, None), (4, "")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(1, near[0]), (3, "alone"), (None, "no id"), (4, "")]))
 
 
 def test_pruning_keeps_what_can_reach_the_threshold():

@@ -149,3 +149,37 @@ def test_mixed_texts_have_the_words_taken(spark):
     slots = mixing.mix_blocks(docs).toPandas()
     assert slots.words.sum() == report.taken.sum()
     assert slots.groupby("doc_id").words.sum().to_dict() == {r.doc_id: r.taken for r in report.itertuples() if r.taken}
+
+
+def test_taken_words_are_those_of_the_slots(spark):
+    """The whole mix once more in plain Python: streams, blocks, quotas, permutations."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mix = mixing.Mix(docs, mixing.word_count(mixing.F.col("text")), mixing.F.col("doc_id"))
+    placed = mix.rows.toPandas().sort_values(["no", "start"])
+    for _, own in placed.groupby("no"):
+        assert own.start.tolist() == np.r_[0, own["size"].cumsum()[:-1]].tolist()
+    uses = Counter()
+    for _, no, first, n in mixing.draw_counts(mix.quota.tolist()):
+        for rank in range(first, first + n):
+            size = mix.blocks[no]
+            key = (rank // size + 1) * 1_000_003 + no + mixing.SEED
+            uses[no, int(mixing.permuted(np.array([rank % size]), np.array([size]), np.array([key]))[0])] += 1
+    want = {r.key: sum(uses[r.no, w // mixing.BLOCK] for w in range(r.start, r.start + r.size)) for r in placed.itertuples()}
+    assert dict(mixing.mix_report(docs).select("doc_id", "taken").toPandas().itertuples(index=False)) == want
+
+
+def test_rows_that_are_equal_take_their_own_parts(spark):
+    text = lambda k: " ".join(f"w{k}_{i}" for i in range(150))
+    rows = [(1, text(1), "a"), (1, text(1), "a"), (2, text(2), "b"), (2, text(3), "b"), (None, text(4), None), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = Counter(w for r in mixing.mix_texts(docs).collect() for w in r.text.split(" "))
+    report = mixing.mix_report(docs).toPandas()
+    assert sum(words.values()) == report.taken.sum() and max(words.values()) <= 6
+    for k, i in ((1, 1), (4, None)):
+        own = report[report.doc_id.isna() if i is None else report.doc_id == i].taken.sum()
+        assert sum(n for w, n in words.items() if w.startswith(f"w{k}_")) == own
+
+
+def test_long_texts_are_mixed_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, " ".join(["abc"] * 400_000), "a"), (2, "x y", "b")], "doc_id long, text string, source string")
+    assert sum(len(r.text.split()) for r in mixing.mix_texts(docs).collect()) == mixing.mix_report(docs).toPandas().taken.sum()

@@ -50,6 +50,28 @@ def test_null_page_ids(spark):
     assert got == {(None, 200, "revisit", 5), (5, 200, "response", None), (None, 0, "response", None)}
 
 
+def test_large_ids_beside_null_ones(spark):
+    base = 9_007_199_254_740_993
+    rows = [(base + k, f"http://h{k % 4}.org/{k}", ("copy " * 40) if k % 3 else f"own {k} " * 30) for k in range(40)] + [(None, "http://none.org/", "copy " * 40), (None, None, None)]
+    got = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    first = base + 1
+    want = []
+    for i, _, html in rows:
+        body = (html or "").encode()
+        again = html == "copy " * 40 and i != first
+        want.append((i, len(body), hashlib.sha256(body).hexdigest(), "revisit" if again else "response", first if again else None))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_reading_back_is_dealt_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 5)
+    monkeypatch.setattr(warc, "READ_BYTES", 2000)
+    pages = spark.createDataFrame([(k, f"http://h{k}.org/", f"text {k} " * 50) for k in range(100)], "page_id long, url string, html string")
+    folder = warc.fresh_path(spark, "warc")
+    back = warc.read_blocks(warc.write_archives(warc.with_revisits(pages), folder, 2), folder)
+    assert back.rdd.getNumPartitions() > 4 and sorted(r.page_id for r in back.collect()) == list(range(100))
+
+
 def test_index_blocks_and_lookups(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
