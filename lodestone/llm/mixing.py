@@ -8,8 +8,9 @@ the targets to within a block. The j-th slot of a source reads block perm(j mod
 a pseudorandom permutation of its own for each pass j div n; slots and blocks are joined by this index.
 
 Defined results: sources are ordered by code point, null last, and an empty text or null text has size 0 and
-is never taken. No row is taken more than MAX_PASSES times. Rows that are equal in all columns, or in the key, are
-rows of their own. An empty table gives an empty result. Extra columns pass through `mix_texts` unchanged.
+is never taken. No row is taken more than MAX_PASSES times. Rows that are equal in the key, or in all columns, are
+rows of their own: they are told apart by the key and a hash of all columns, and equal ones take what is given to
+either. An empty table gives an empty result. Extra columns pass through `mix_texts` unchanged.
 The number of sources is taken to be small enough for the driver; rows, blocks, slots and shards are not.
 """
 
@@ -97,12 +98,23 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def ident(docs: DataFrame, key: str) -> Column:
+    """What tells rows apart: the key and a hash of all columns."""
+    every = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    return F.struct(F.col(key).alias("key"), every.alias("hash"))
+
+
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+
+
 class Mix:
     """The plan of a mix: placed rows, the sources' figures, and slots."""
 
-    def __init__(self, docs: DataFrame, size: Column, key: Column, source: str = "source", block: int = BLOCK):
+    def __init__(self, docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", block: int = BLOCK):
         self.spark, self.block = docs.sparkSession, block
-        rows = keep(docs.select(key.alias("key"), F.col(source).alias("source"), size.cast("long").alias("size")))
+        size = word_count(F.col(text))
+        rows = keep(docs.select(ident(docs, key).alias("key"), F.col(source).alias("source"), size.cast("long").alias("size")))
         found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # one row a source
         found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
         sizes = [r["size"] for r in found]
@@ -117,7 +129,7 @@ class Mix:
     def _placed(self, rows: DataFrame, runs: int) -> DataFrame:
         """no, key, size and start, the row's first word in its source's stream: sums over short runs, then over the runs' totals."""
         rows = rows.join(F.broadcast(self.sources), rows["source"].eqNullSafe(self.sources["source"])).select("no", "key", "size", "source_size", "target")
-        h = F.xxhash64("key", F.lit(SEED))
+        h = F.xxhash64("key.key", F.lit(SEED))
         rows = rows.withColumn("h", h).withColumn("run", F.pmod("h", F.lit(runs)))
         before = Window.partitionBy("no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
         heads = rows.groupBy("no", "run").agg(F.sum("size").alias("t")).select("no", "run", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("head"))
@@ -166,34 +178,27 @@ class Mix:
 
 def mix_report(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """key, size, source_size, target and taken for every row."""
-    mix = Mix(docs, word_count(F.col(text)), F.col(key), source)
+    mix = Mix(docs, text, key, source)
     got = mix.taken().select("no", F.col("key").alias("_key"), F.col("start").alias("_start"), "taken")
     same = (F.col("no") == F.col("_no")) & F.col("key").eqNullSafe(F.col("_key")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0)
     out = mix.rows.join(got.withColumnRenamed("no", "_no"), same, "left")
-    return out.select(F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-
-
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    return out.select(F.col("key.key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """The mix itself: shard, slot, source, block, key, and the first word and number of words that the slot takes from the row."""
-    mix = Mix(docs, word_count(F.col(text)), F.col(key), source)
+    mix = Mix(docs, text, key, source)
     part = mix.slots().join(mix.segments(), ["no", "block"]).join(F.broadcast(mix.sources.select("no", "source")), "no")
-    return part.select("shard", "slot", "source", "block", F.col("key").alias(key), F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0)).alias("first_word"), "words")
+    return part.select("shard", "slot", "source", "block", F.col("key.key").alias(key), F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0)).alias("first_word"), "words")
 
 
 def mix_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """docs as the mix takes them, with the same columns: a row for each of the passes that takes something of it.
 
     A pass that takes all words of a row keeps its text as it is; otherwise the words that it takes are joined by
-    blanks. Rows are told apart by the key and a hash of all columns; of rows that are equal in all, each takes its
-    own part. n_chars, where there is such a column, is set anew.
+    blanks. n_chars, where there is such a column, is set anew.
     """
-    every = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
-    ident = F.struct(F.col(key).alias("key"), every.alias("hash"))
-    mix = Mix(docs, word_count(F.col(text)), ident, source)
+    mix = Mix(docs, text, key, source)
     got = mix.taken().select(F.col("key").alias("_key"), F.col("start").alias("_start"), F.col("size").alias("_size"), "blocks")
     b = F.lit(BLOCK)
     passes = got.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.array_max(F.col("blocks.times")).cast("int"))))
@@ -203,7 +208,7 @@ def mix_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", source:
     first = lambda block: F.greatest(block * b - F.col("_start"), F.lit(0))
     part = lambda w, block: F.array_join(F.slice(w, (first(block) + 1).cast("int"), ((block + 1) * b - F.col("_start") - first(block)).cast("int")), " ")
     some = let(words_of(F.col("_text")), lambda w: F.array_join(F.transform("_in", lambda block: part(w, block)), " "))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), ident.alias("_id"), F.col(text).alias("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), ident(docs, key).alias("_id"), F.col(text).alias("_text"))
     rows = each_once(rows, mix.rows.select(F.col("key").alias("_id")), ["_id"])
     joined = rows.join(passes, F.col("_id").eqNullSafe(F.col("_key"))).withColumn("_out", F.when(whole, F.col("_text")).otherwise(some))
     return joined.select([F.col("_out").alias(c) if c == text else F.length("_out").cast(kind).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c, kind in docs.dtypes])

@@ -69,6 +69,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_substring_dedup, op4_sentencepiece, op5_jaccard_join, op6_warc, op7_quality_rules, op8_scoring, op9_neighbours, op10_sharding)}
 
+OP2_SQL = """
+with t as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+w as (select r, i, b[i:i + 199] as g from (select r, b, unnest(range(1, octet_length(b) - 198)) as i from t where octet_length(b) >= 200)),
+d as (select r, i from (select r, i, count(*) over (partition by g) as n from w) where n > 1),
+s as (select r, i, sum(step) over (partition by r order by i) as run from (select r, i, case when i - lag(i) over (partition by r order by i) <= 200 then 0 else 1 end as step from d)),
+u as (select r, min(i) as a, max(i) + 200 as z from s group by r, run),
+k as (select r, coalesce(lag(z) over (partition by r order by a), 1) as a, a as z from u union all select r, max(z), null from u group by r),
+p as (select k.r, string_agg(hex(b[k.a:coalesce(k.z - 1, octet_length(b))]), '' order by k.a, k.z nulls last) as kept from k join t on t.r = k.r group by k.r)
+select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(m, 0)::bigint as n_spans,
+    sha256(case when p.r is null then b else unhex(kept) end) as kept_sha256
+from t left join (select r, sum(z - a) as n, count(*) as m from u group by r) x on x.r = t.r left join p on p.r = t.r
+"""
+
 OP3_SQL = r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
 g as (select doc_id, unnest(range(1, len(ws) - 33)) as i, unnest(list_transform(range(1, len(ws) - 33), lambda i: array_to_string(ws[i:i + 34], ' '))) as g from w where len(ws) >= 35),
@@ -122,4 +135,17 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
 from m
 """
 
-LLM_SQL = {"op5_jaccard_join": OP5_SQL, "op3_substring_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op7_quality_rules": OP7_SQL}
+OP10_SQL = r"""
+with recursive bits as (select n::ubigint as n, n::ubigint as c, 0 as k from range(256) t(n)
+    union all select n, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, k + 1 from bits where k < 8),
+tab as (select list(c order by n) as crc_of from bits where k = 8),
+b as (select doc_id, octet_length(encode(coalesce(text, '')))::bigint + 16 as size,
+    list_transform([coalesce(text, ''), coalesce(doc_id::varchar, '')], lambda s: list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda x: ('0x' || x)::ubigint)) as bs from documents),
+c as (select doc_id, size, list_transform(bs, lambda s: xor(list_reduce(list_concat([4294967295::ubigint], s), lambda c, x: xor(c >> 8, crc_of[(xor(c, x) & 255)::int + 1])), 4294967295::ubigint)) as crc from b, tab),
+o as (select doc_id, size, crc[1]::bigint as text_crc32, row_number() over w as nth, sum(size) over (w rows unbounded preceding) as upto, sum(size) over () as total
+    from c window w as (order by crc[1], crc[2] >> 1, doc_id nulls first, size)),
+s as (select *, least(39, ((2 * upto - size) * 40) // (2 * total))::int as shard from o)
+select doc_id, size, text_crc32, 'bytes' as law, shard, (row_number() over (partition by shard order by nth) - 1)::bigint as slot, null::int as grown_shard from s
+"""
+
+LLM_SQL = {"op2_suffix_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_warc": OP6_SQL, "op7_quality_rules": OP7_SQL, "op10_sharding": OP10_SQL}

@@ -123,11 +123,13 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", rows:
     sample = keep(docs.select(F.col(text).alias("text")).sample(min(1.0, rows / max(1, docs.count())), 7).coalesce(SAMPLE_PARTS))
     m = F.col("_m")
     rates = measure(sample, "text", ()).select(*[F.avg(r.rejects(m).cast("double")).alias(r.name) for r in rules]).first()
-    took = {}
     t = F.coalesce(F.col("text"), F.lit(""))
-    for name in dict.fromkeys(("n_words", *(i for r in rules for i in r.inputs))):
-        value = sample.select(let(words_of(t), lambda w, f=MEASURES[name]: F.size(w) + f(t, w)).alias("v")).agg(F.sum("v"))
-        took[name] = min(clocked(value), clocked(value))
+
+    def seconds(name: str) -> float:
+        value = sample.select(let(words_of(t), lambda w: F.size(w) + MEASURES[name](t, w)).alias("v")).agg(F.sum("v"))
+        return min(clocked(value), clocked(value))
+
+    took = {name: seconds(name) for name in dict.fromkeys(("n_words", *(i for r in rules for i in r.inputs)))}
     split = took["n_words"]
     return {r.name: (sum(max(LEAST, took[i] - split) for i in r.inputs), float(rates[r.name] or 0)) for r in rules}
 

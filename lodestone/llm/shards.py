@@ -1,6 +1,6 @@
 """Sharding by sampled splitters, in DataFrame expressions only.
 
-Rows are ordered by (crc32 of the text, doc_id), so equal texts lie together. A size-weighted sample of keys
+Rows are ordered by crc32 of the text, crc32 of the id, and id, so equal texts lie together. A size-weighted sample of keys
 gives quantile boundaries of many more ranges than shards; rows go to ranges by these, ranges that hold more
 than their share are subdivided at boundaries drawn from themselves, and running sums inside ranges, on top of
 the ranges' totals, give each row its place in the order. Shard k takes the rows whose middle byte lies in the
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import keep
 
 OVERHEAD = 16
-#: Ranges a shard at least, rows a range at most (in the mean), keys sampled a range.
-RANGES, RANGE_ROWS, KEYS = 8, 250_000, 16
+#: Ranges a shard at least, rows a range (in the mean) as long as there are MOST ranges at most, keys sampled a range.
+#: The driver thus holds MOST * KEYS keys at most, and the plan MOST cuts and what subdividing adds, whatever the rows.
+RANGES, RANGE_ROWS, MOST, KEYS = 8, 250_000, 4096, 16
 
 
 def sized(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -33,9 +34,10 @@ def sized(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 def spot(crc: Column, key: Column) -> Column:
     """A place on one line that keeps the order of (crc, key) for distinct checksums and spreads the copies of one text.
 
-    32 bits of checksum, then 31 of the key's hash: equal texts stay neighbours and a large group of copies can be cut.
+    32 bits of checksum, then 31 of the key's own checksum: equal texts stay neighbours and a large group of copies can be cut.
     """
-    return F.shiftleft(crc - F.lit(1 << 31), 31).bitwiseOR(F.shiftrightunsigned(F.xxhash64(key), 33))
+    own = F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+    return F.shiftleft(crc - F.lit(1 << 31), 31).bitwiseOR(F.shiftright(own, 1))
 
 
 def draw_splitters(rows: DataFrame, ranges: int, keys: int = KEYS) -> list[int]:
@@ -47,7 +49,7 @@ def draw_splitters(rows: DataFrame, ranges: int, keys: int = KEYS) -> list[int]:
     step = max(1.0, total / (ranges * keys))
     dice = F.pmod(F.xxhash64("place", F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
     drawn = rows.filter(dice < F.col("size") / step).select("place", F.greatest(F.col("size").cast("double"), F.lit(step)).alias("w"))
-    sample = sorted((r["place"], r["w"]) for r in drawn.collect())  # about ranges * keys rows, whatever the input
+    sample = sorted((r["place"], r["w"]) for r in drawn.collect())  # about ranges * keys rows, MOST * KEYS at most, whatever the input
     cuts, run, mass = [], 0.0, sum(w for _, w in sample)
     for place, w in sample:
         run += w
@@ -71,7 +73,7 @@ def range_of(place: Column, cuts: list[int]) -> Column:
 def shard_by_bytes(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row."""
     rows = keep(sized(docs, text, key).withColumn("place", spot(F.col("text_crc32"), F.col("doc_id"))))
-    cuts = draw_splitters(rows, max(shards * RANGES, rows.count() // RANGE_ROWS))
+    cuts = draw_splitters(rows, max(shards * RANGES, min(MOST, rows.count() // RANGE_ROWS)))
     cuts = subdivide(rows, cuts)
     rows = rows.withColumn("range", range_of(F.col("place"), cuts))
     totals = rows.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # one row a range

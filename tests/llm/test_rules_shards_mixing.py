@@ -154,7 +154,7 @@ def test_mixed_texts_have_the_words_taken(spark):
 def test_taken_words_are_those_of_the_slots(spark):
     """The whole mix once more in plain Python: streams, blocks, quotas, permutations."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    mix = mixing.Mix(docs, mixing.word_count(mixing.F.col("text")), mixing.F.col("doc_id"))
+    mix = mixing.Mix(docs)
     placed = mix.rows.toPandas().sort_values(["no", "start"])
     for _, own in placed.groupby("no"):
         assert own.start.tolist() == np.r_[0, own["size"].cumsum()[:-1]].tolist()
@@ -164,7 +164,7 @@ def test_taken_words_are_those_of_the_slots(spark):
             size = mix.blocks[no]
             key = (rank // size + 1) * 1_000_003 + no + mixing.SEED
             uses[no, int(mixing.permuted(np.array([rank % size]), np.array([size]), np.array([key]))[0])] += 1
-    want = {r.key: sum(uses[r.no, w // mixing.BLOCK] for w in range(r.start, r.start + r.size)) for r in placed.itertuples()}
+    want = {r.key["key"]: sum(uses[r.no, w // mixing.BLOCK] for w in range(r.start, r.start + r.size)) for r in placed.itertuples()}
     assert dict(mixing.mix_report(docs).select("doc_id", "taken").toPandas().itertuples(index=False)) == want
 
 
