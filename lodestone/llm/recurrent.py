@@ -11,12 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from lodestone.llm.text import gather
+
 CLASSES, SLOTS, HIDDEN = 40, 40, 32
 #: Steps of a window of truncated backpropagation, steps of a window of scoring; most lanes that run side by side.
-STEPS, SCORE_STEPS, LANES, SCORE_LANES = 16, 64, 256, 512
+STEPS, SCORE_STEPS, LANES, SCORE_LANES = 16, 64, 512, 512
 #: Windows that a replica's training is to have before it gets more lanes, and lanes at least.
 WINDOWS, FEW_LANES = 256, 8
 RATE = 0.01
+#: Tokens that one lane is trained on in a run, and tokens before a later part of a text that set its state.
+PART, WARM = 4096, 64
 
 
 def softmax(x: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,21 +49,38 @@ def lanes_for(words: int) -> int:
     return max(FEW_LANES, min(LANES, words // (STEPS * WINDOWS)))
 
 
-def matrices(ids: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Steps by lanes: the number of the word, -1 where a lane has ended, and the text it belongs to, as -text - 1 at its first word."""
+def parted(ids: np.ndarray, at: np.ndarray, start: int) -> tuple[np.ndarray, ...]:
+    """Texts in parts of PART words, so that lanes are of even length: words, offsets, what each part's first step reads, and whether a word is learnt from.
+
+    A later part begins WARM words early, on which only its state is run up; each word is learnt from in one part.
+    """
+    n = np.diff(at)
+    text = np.repeat(np.arange(len(n)), -(-n // PART))
+    nth = np.arange(len(text)) - np.searchsorted(text, text)
+    begin = at[:-1][text] + nth * PART
+    warm = np.where(nth > 0, WARM, 0)
+    size = np.minimum(begin + PART, at[1:][text]) - begin + warm
+    where = gather(begin - warm, size)
+    first = np.where(nth > 0, ids[np.maximum(begin - warm - 1, 0)] if len(ids) else 0, start)
+    return ids[where], np.r_[0, np.cumsum(size)], first, where >= np.repeat(begin, size)
+
+
+def matrices(ids: np.ndarray, at: np.ndarray, most: int, learn: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Steps by lanes: the number of the word, -1 where a lane has ended; the text it belongs to, as -text - 1 at its first word; whether it counts."""
     lanes = lanes_of(np.diff(at), most)
     steps = max((sum(int(at[t + 1] - at[t]) for t in lane) for lane in lanes), default=0)
-    word, text = np.full((steps, len(lanes)), -1, np.int32), np.zeros((steps, len(lanes)), np.int32)
+    word, text, counts = np.full((steps, len(lanes)), -1, np.int32), np.zeros((steps, len(lanes)), np.int32), np.zeros((steps, len(lanes)), bool)
     for i, lane in enumerate(lanes):
         k = 0
         for t in lane:
             n = int(at[t + 1] - at[t])
             word[k : k + n, i] = ids[at[t] : at[t + 1]]
             text[k : k + n, i] = t
+            counts[k : k + n, i] = True if learn is None else learn[at[t] : at[t + 1]]
             if n:
                 text[k, i] = -t - 1
             k += n
-    return word, text
+    return word, text, counts
 
 
 class Gru:
@@ -118,10 +139,10 @@ class Gru:
             h = states[i]
         return read, begin, old, zr, an, n, states
 
-    def inputs(self, word: np.ndarray, text: np.ndarray, before: np.ndarray, start: int) -> np.ndarray:
-        """The number that each step reads: the word before, or start at the first word of a text."""
+    def inputs(self, word: np.ndarray, text: np.ndarray, before: np.ndarray, start: int | np.ndarray) -> np.ndarray:
+        """The number that each step reads: the word before, or at the first word of a text start, or start[text]."""
         last = np.vstack([before[None], word[:-1]])
-        return np.where(text < 0, start, np.maximum(last, 0))
+        return np.where(text < 0, start if np.ndim(start) == 0 else start[np.maximum(-text - 1, 0)], np.maximum(last, 0))
 
     def outputs(self, states: np.ndarray, word: np.ndarray, grad: Gru | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of the words from the states before them; with grad, adds the weights' gradients and gives the states'."""
@@ -154,7 +175,7 @@ class Gru:
 
     def score(self, ids: np.ndarray, at: np.ndarray, start: int) -> np.ndarray:
         """Natural log-probability of each whole text; states go on from window to window until the text ends."""
-        word, text = matrices(ids, at, SCORE_LANES)
+        word, text, _ = matrices(ids, at, SCORE_LANES)
         out = np.zeros(len(at) - 1)
         h, before = np.zeros((word.shape[1], HIDDEN), np.float32), np.zeros(word.shape[1], np.int32)
         for k in range(0, len(word), SCORE_STEPS):
@@ -174,16 +195,18 @@ class Gru:
 
     def train(self, ids: np.ndarray, at: np.ndarray, start: int, adam: Adam, lanes: int = LANES) -> int:
         """One pass over the texts, an update a window. Returns the words learnt from."""
-        word, text = matrices(ids, at, lanes)
+        ids, at, first, learn = parted(ids, at, start)
+        word, text, counts = matrices(ids, at, lanes, learn)
         h, before = np.zeros((word.shape[1], HIDDEN), np.float32), np.zeros(word.shape[1], np.int32)
         for k in range(0, len(word), STEPS):
-            h, before = self.window(word[k : k + STEPS], text[k : k + STEPS], h, before, start, adam)
-        return int((word >= 0).sum())
+            own = slice(k, k + STEPS)
+            h, before = self.window(word[own], text[own], h, before, first, adam, counts[own])
+        return int(counts.sum())
 
-    def window(self, w: np.ndarray, t: np.ndarray, h: np.ndarray, before: np.ndarray, start: int, adam: Adam) -> tuple[np.ndarray, np.ndarray]:
+    def window(self, w: np.ndarray, t: np.ndarray, h: np.ndarray, before: np.ndarray, start: int | np.ndarray, adam: Adam, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         read, begin, old, zr, an, n, states = self.run(w, t, h, before, start)
         grad = Gru(np.zeros_like(self.w))
-        real = w >= 0
+        real = w >= 0 if counts is None else counts
         _, back = self.outputs(states[real], w[real], grad)
         ds = np.zeros_like(states)
         ds[real] = back

@@ -7,8 +7,9 @@ so probabilities sum to one over all training tokens and one unseen token a buck
 
 Training takes every token of every training document once. The documents are dealt by a hash of id and text to ROUNDS
 rounds, and in each to replicas of about REPLICA_WORDS tokens, whatever the table's partitions; each replica trains its
-own copy of the weights by truncated backpropagation, the state carried through each document, and after a round the
-copies are averaged by words. Scoring takes every word of every document, with the state carried from window to window.
+own copy of the weights by truncated backpropagation, the state carried through each document (a later part of a long
+one, which trains beside the first, begins with the state of the words before it), and after a round the copies are
+averaged by words. Scoring takes every word of every document, with the state carried from window to window.
 
 Words are known by 64-bit hashes whose last bits are the bucket. The most frequent, HEAD of them in the mean at most, are
 looked up in a table of fixed size that goes to all workers; the documents' other words are joined with the counts.
@@ -39,9 +40,11 @@ HEAD, NUMBERED = 1 << 18, CLASSES * SLOTS
 BUCKETS = 128
 BUCKET = np.uint64(BUCKETS - 1)
 #: Rounds of training; tokens a replica, in the mean; tasks that train, at most.
-ROUNDS, REPLICA_WORDS, TASKS = 3, 1 << 20, 8192
+ROUNDS, REPLICA_WORDS, TASKS = 3, 1 << 21, 8192
+#: Tasks that add up weights before one does.
+ADDERS = 64
 #: Distinct words counted in a worker, and words scored together.
-COUNTED, SCORED = 1_000_000, 2_000_000
+COUNTED, SCORED = 1_000_000, 4_000_000
 END = np.uint64(0x656E6400)
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
@@ -163,13 +166,14 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     level = F.floor(16 * F.log2("c"))
     steps = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()  # under 1,000 rows
-    wanted, held_ = F.col("w") == F.lit(int(END)), 0  # the end always has a number
+    held_, last, share = 0, None, 1.0
     for r in sorted(steps, key=lambda r: -r["level"]):
-        share = min(1.0, (HEAD - held_) / r["n"])
-        wanted |= (level == r["level"]) & (F.pmod(F.xxhash64("w"), F.lit(1 << 40)) < int(share * (1 << 40)))
+        last, share = r["level"], min(1.0, (HEAD - held_) / r["n"])
         held_ += r["n"]
         if held_ >= HEAD:
             break
+    some = (level == F.lit(last)) & (F.pmod(F.xxhash64("w"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    wanted = (level > F.lit(last)) | some | (F.col("w") == F.lit(int(END)))  # the end always has a number
     top = counts.filter(wanted).toPandas().sort_values(["c", "w"], ascending=[False, True])
     w, c = top.w.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64)
     rank = np.argsort(w != END, kind="stable").argsort(kind="stable")  # the end first, then by count
@@ -224,17 +228,17 @@ def fit(training: DataFrame, vocab, rounds: int = ROUNDS, replica_words: int = R
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = 0.0, 0
             for b in batches:
-                for k, w in zip(b.column(1).to_pylist(), b.column(2)):
+                for k, w in zip(b.column(0).to_pylist(), b.column(1)):
                     total, n = total + np.frombuffer(w.as_buffer(), np.float64), n + k
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "w"])
 
         dealt = every.filter(F.col("turn") == turn).select("replica", "h", "ids").repartition(min(replicas, TASKS), "replica").sortWithinPartitions("replica", "h", "ids")
         copies = dealt.mapInArrow(train, "g long, n long, w binary")
-        found = copies.repartition(8, "g").mapInArrow(add, "n long, w binary").collect()  # 8 rows at most
-        if found:
-            n = sum(r["n"] for r in found)
-            model = Gru((sum(np.frombuffer(r["w"], np.float64) for r in found) / n).astype(np.float32))
+        # sums of a task's replicas, then of a number of tasks, then of all
+        sums = copies.repartition(ADDERS, "g").select("n", "w").mapInArrow(add, "n long, w binary").repartition(1).mapInArrow(add, "n long, w binary")
+        if found := sums.collect():  # one row
+            model = Gru((np.frombuffer(found[0]["w"], np.float64) / found[0]["n"]).astype(np.float32))
         sent.unpersist()
     drop_path(spark, path)
     return model

@@ -102,3 +102,14 @@ def test_the_head_is_never_empty(spark, monkeypatch):
     assert 20 < len(v.w) < 90 and v.numbers(np.array([scoring.END]))[0] == scoring.BUCKETS
     mass = v.mass()
     assert abs(mass.sum() - (v.n + 0.1 * (v.v + scoring.BUCKETS)) / (v.n + 0.1 * (v.v + 1))) < 1e-9
+
+
+def test_long_texts_are_learnt_in_parts_each_word_once(monkeypatch):
+    monkeypatch.setattr(recurrent, "PART", 10)
+    monkeypatch.setattr(recurrent, "WARM", 4)
+    ids, at = np.arange(100, 145, dtype=np.int32), np.array([0, 7, 7, 40, 45])
+    own, own_at, first, learn = recurrent.parted(ids, at, 3)
+    assert own[learn].tolist() == ids.tolist()
+    assert first.tolist() == [3, 3, 112, 122, 132, 3] and np.diff(own_at).tolist() == [7, 10, 14, 14, 7, 5]
+    word, text, counts = recurrent.matrices(own, own_at, 3, learn)
+    assert sorted(word[counts].tolist()) == ids.tolist()
