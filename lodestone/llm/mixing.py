@@ -172,7 +172,8 @@ class Mix:
     def taken(self) -> DataFrame:
         """no, key, start, size, words taken, and the list of (block, times) of each row of which something is taken."""
         times = self.slots().groupBy("no", "block").agg(F.count(F.lit(1)).alias("times"))
-        joined = self.segments().join(times, ["no", "block"])
+        # the planner takes slots for as small as the few rows that they are made from; they grow with the input
+        joined = self.segments().join(times.hint("merge"), ["no", "block"])
         return joined.groupBy("no", "key", "start", "size").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.collect_list(F.struct("block", "times")).alias("blocks"))
 
 
@@ -188,7 +189,7 @@ def mix_report(docs: DataFrame, text: str = "text", key: str = "doc_id", source:
 def mix_blocks(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """The mix itself: shard, slot, source, block, key, and the first word and number of words that the slot takes from the row."""
     mix = Mix(docs, text, key, source)
-    part = mix.slots().join(mix.segments(), ["no", "block"]).join(F.broadcast(mix.sources.select("no", "source")), "no")
+    part = mix.slots().hint("merge").join(mix.segments(), ["no", "block"]).join(F.broadcast(mix.sources.select("no", "source")), "no")
     return part.select("shard", "slot", "source", "block", F.col("key.key").alias(key), F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0)).alias("first_word"), "words")
 
 
