@@ -1,4 +1,4 @@
-"""Ungrouped aggregates: partial on each partition, then one small final row."""
+"""Aggregates: partial on each partition, then one small final row, or a row a group."""
 
 from __future__ import annotations
 
@@ -22,6 +22,21 @@ def exact_sum(column: str) -> Column:
     return F.sum(F.col(column).cast(MONEY)).cast("double")
 
 
+def outputs_of(outputs: dict[str, tuple[str, str] | Column]) -> list[Column]:
+    return [(call(*v) if isinstance(v, tuple) else v).alias(k) for k, v in outputs.items()]
+
+
 def aggregate(df: DataFrame, **outputs: tuple[str, str] | Column) -> DataFrame:
     """aggregate(df, total=("sum", "price"), n=("count", "*")). Empty input gives nulls, and 0 for counts."""
-    return df.agg(*[(call(*v) if isinstance(v, tuple) else v).alias(k) for k, v in outputs.items()])
+    return df.agg(*outputs_of(outputs))
+
+
+def group(df: DataFrame, by: list[str], *, grouping: str = "groupBy", having: Column | None = None, **outputs: tuple[str, str] | Column) -> DataFrame:
+    """A row for each group; grouping may be rollup or cube; having is a condition on the outputs."""
+    out = getattr(df, grouping)(*by).agg(*outputs_of(outputs))
+    return out if having is None else out.filter(having)
+
+
+def distinct(df: DataFrame, *columns: str) -> DataFrame:
+    """The distinct rows of the columns, or of all."""
+    return (df.select(*columns) if columns else df).distinct()

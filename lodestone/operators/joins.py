@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.predicates import all_of, compare
@@ -29,6 +29,25 @@ def join_all(first: DataFrame, *rest: tuple[DataFrame, Column]) -> DataFrame:
     return first
 
 
+def join_either(left: DataFrame, right: DataFrame, first: Column, second: Column) -> DataFrame:
+    """Pairs that meet one of two conditions: those of the first, and those of the second alone. Each part has the plan that its condition allows, an equality a hash or merge join."""
+    return join(left, right, first).unionAll(join(left, right, second, ~F.coalesce(first, F.lit(False))))
+
+
+def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, values: list[str]) -> DataFrame:
+    """left with the values of the last right row of its group whose right_on is at or before on; null where there is none.
+
+    Both sides are sorted once by (group, moment); nothing is paired.
+    """
+    mark = [F.struct(*[F.col(c) for c in left.columns]).alias("_row"), F.lit(None).alias("_values")]
+    rows = left.select(*by, F.col(on).alias("_at"), F.lit(1).alias("_side"), *mark)
+    held = F.struct(*values)
+    found = right.select(*by, F.col(right_on).alias("_at"), F.lit(0).alias("_side"), F.lit(None).alias("_row"), held.alias("_values"))
+    before = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.unionByName(found).withColumn("_values", F.last("_values", ignorenulls=True).over(before))
+    return both.filter("_side = 1").select("_row.*", *[F.col(f"_values.{v}").alias(v) for v in values])
+
+
 def trim_equal(left: str | Column, right: str | Column) -> Column:
     """Equality of texts without their outer blanks, tabs and line ends."""
     c = lambda x: F.col(x) if isinstance(x, str) else x

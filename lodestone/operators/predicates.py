@@ -19,6 +19,28 @@ def compare(left: str | Column, op: str, right) -> Column:
     return COMPARATORS[op](left, right if isinstance(right, Column) else F.lit(right))
 
 
+def between(column: str | Column, low, high) -> Column:
+    """Both bounds belong to the range."""
+    return all_of(compare(column, ">=", low), compare(column, "<=", high))
+
+
+def is_in(column: str, *values) -> Column:
+    return F.col(column).isin(list(values))
+
+
+def like(column: str, pattern: str) -> Column:
+    """% stands for any characters, _ for one; the backslash takes their meaning away."""
+    return F.col(column).like(pattern)
+
+
+def is_null(column: str) -> Column:
+    return F.col(column).isNull()
+
+
+def not_null(column: str) -> Column:
+    return F.col(column).isNotNull()
+
+
 def all_of(*terms: Column) -> Column:
     return F.lit(True) if not terms else reduce(operator.and_, terms)
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import wall_clock
-from lodestone.operators import aggregate, all_of, any_of, compare, join, join_all, order_by, trim_equal
+from lodestone.functions import exclusive_sum, wall_clock
+from lodestone.operators import aggregate, all_of, any_of, asof, band, between, compare, distinct, group, is_in, is_null, join, join_all, join_either, join_using, like, not_null, order_by, top_k, trim_equal
 from lodestone.operators.aggregates import exact_sum
+from lodestone.plans.sql import TEXTS
+from lodestone.session import Engine
 from lodestone.sources.tables import table
 
+#: The tables that a directory of the registered queries holds.
+NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -87,6 +92,31 @@ def filter_nested_bool(t):
     return t.orders.filter(any_of(dear, cheap)).select("o_orderkey")
 
 
+@query
+def filter_in(t):
+    return t.customer.filter(is_in("c_mktsegment", "BUILDING", "MACHINERY")).select("c_custkey", "c_mktsegment")
+
+
+@query
+def filter_like(t):
+    return t.part.filter(like("p_name", "%1_")).select("p_partkey", "p_name")
+
+
+@query
+def filter_between(t):
+    return t.part.filter(between("p_retailprice", 950, 1000)).select("p_partkey", "p_retailprice")
+
+
+@query
+def filter_is_null(t):
+    return join(t.customer, t.orders, on("c_custkey", "=", "o_custkey"), how="left").filter(is_null("o_orderkey")).select("c_custkey")
+
+
+@query
+def filter_not_null(t):
+    return join(t.customer, t.orders, on("c_custkey", "=", "o_custkey"), how="left").filter(not_null("o_orderkey")).select("c_custkey", "o_orderkey")
+
+
 @query
 def agg_sum(t):
     return aggregate(t.lineitem, sum_price=exact_sum("l_extendedprice"))
@@ -137,79 +167,95 @@ def agg_empty_input(t):
     return aggregate(t.orders.filter(compare("o_totalprice", "<", -1)), s=("sum", "o_totalprice"), d=("min", "o_orderdate"), n=("count", "*"))
 
 
-def on(left: str, op: str, right: str) -> Column:
-    return compare(left, op, F.col(right))
+@query
+def agg_text(t):
+    return aggregate(t.part, mn=("min", "p_name"), mx=("max", "p_brand"), n=("count", "p_type"))
 
 
 @query
-def join_equi_num(t):
-    return join(t.orders, t.customer, on("o_custkey", "=", "c_custkey")).select("o_orderkey", "c_name")
+def agg_distinct(t):
+    return aggregate(t.lineitem, flags=F.count_distinct("l_returnflag"), parts=F.count_distinct("l_partkey"))
 
 
 @query
-def join_equi_str(t):
-    s = t.supplier.select("s_suppkey", F.concat(F.lit("Supplier-"), F.col("s_nationkey").cast("string"), F.lit(" ")).alias("sk"))
-    p = t.part.select("p_partkey", F.concat(F.lit(" Supplier-"), F.col("p_size").cast("string")).alias("pk"))
-    return join(s, p, trim_equal("sk", "pk")).select("s_suppkey", "p_partkey")
+def agg_conditional(t):
+    returned = F.col("l_returnflag") == "R"
+    return aggregate(t.lineitem, n=F.count_if(returned), mx=F.max(F.when(returned, F.col("l_quantity"))))
 
 
 @query
-def join_equi_date(t):
-    return join(t.lineitem, t.orders, on("l_shipdate", "=", "o_orderdate"), compare("o_totalprice", ">", 490000)).select("l_orderkey", "l_linenumber", "o_orderkey")
+def group_by_flags(t):
+    return group(t.lineitem, ["l_returnflag", "l_linestatus"], sum_qty=("sum", "l_quantity"), sum_price=exact_sum("l_extendedprice"), avg_qty=F.round(F.avg("l_quantity"), 6), n=("count", "*"))
 
 
 @query
-def join_multi_cond(t):
-    return join(t.lineitem, t.orders, on("l_orderkey", "=", "o_orderkey"), on("l_shipdate", ">=", "o_orderdate")).select("l_orderkey", "l_linenumber")
+def group_by_having(t):
+    return group(t.orders, ["o_custkey"], having=compare("n", ">", 12), n=("count", "*"), mx=("max", "o_totalprice"))
 
 
 @query
-def join_eq_and_ne(t):
-    return join(t.customer, t.supplier, on("c_nationkey", "=", "s_nationkey"), on("c_acctbal", "<>", "s_acctbal")).select("c_custkey", "s_suppkey")
+def group_by_rollup(t):
+    return group(t.customer, ["c_nationkey", "c_mktsegment"], grouping="rollup", n=("count", "*"), mn=("min", "c_acctbal"))
 
 
 @query
-def join_theta_lt(t):
-    return join(t.customer, t.supplier, on("c_acctbal", "<", "s_acctbal"), compare("c_custkey", "<", 100)).select("c_custkey", "s_suppkey")
+def group_by_cube(t):
+    return group(t.lineitem, ["l_returnflag", "l_linestatus"], grouping="cube", n=("count", "*"), mx=("max", "l_shipdate"))
 
 
 @query
-def join_theta_gt(t):
-    return join(t.customer, t.supplier, on("c_acctbal", ">", "s_acctbal"), compare("c_custkey", "<", 100)).select("c_custkey", "s_suppkey")
+def distinct_rows(t):
+    return distinct(t.lineitem, "l_returnflag", "l_linestatus", "l_quantity")
+
+
+def on(left: str, op: str, right: str) -> Column:
+    return compare(left, op, F.col(right))
 
 
 @query
-def join_theta_le(t):
-    return join(t.customer, t.nation, on("c_nationkey", "<=", "n_nationkey"), compare("c_custkey", "<", 500)).select("c_custkey", "n_nationkey")
+def join_equi_num(t):
+    return join(t.orders, t.customer, on("o_custkey", "=", "c_custkey")).select("o_orderkey", "c_name")
 
 
 @query
-def join_theta_ge(t):
-    return join(t.customer, t.nation, on("c_nationkey", ">=", "n_nationkey"), compare("c_custkey", "<", 500)).select("c_custkey", "n_nationkey")
+def join_equi_str(t):
+    s = t.supplier.select("s_suppkey", F.concat(F.lit("Supplier-"), F.col("s_nationkey").cast("string"), F.lit(" ")).alias("sk"))
+    p = t.part.select("p_partkey", F.concat(F.lit(" Supplier-"), F.col("p_size").cast("string")).alias("pk"))
+    return join(s, p, trim_equal("sk", "pk")).select("s_suppkey", "p_partkey")
 
 
 @query
-def join_equi_date_whole(t):
+def join_equi_date(t):
     return join(t.lineitem, t.orders, on("l_shipdate", "=", "o_orderdate")).select("l_orderkey", "l_linenumber", "o_orderkey")
 
 
 @query
-def join_theta_lt_whole(t):
+def join_multi_cond(t):
+    return join(t.lineitem, t.orders, on("l_orderkey", "=", "o_orderkey"), on("l_shipdate", ">=", "o_orderdate")).select("l_orderkey", "l_linenumber")
+
+
+@query
+def join_eq_and_ne(t):
+    return join(t.customer, t.supplier, on("c_nationkey", "=", "s_nationkey"), on("c_acctbal", "<>", "s_acctbal")).select("c_custkey", "s_suppkey")
+
+
+@query
+def join_theta_lt(t):
     return join(t.customer, t.supplier, on("c_acctbal", "<", "s_acctbal")).select("c_custkey", "s_suppkey")
 
 
 @query
-def join_theta_gt_whole(t):
+def join_theta_gt(t):
     return join(t.customer, t.supplier, on("c_acctbal", ">", "s_acctbal")).select("c_custkey", "s_suppkey")
 
 
 @query
-def join_theta_le_whole(t):
+def join_theta_le(t):
     return join(t.customer, t.nation, on("c_nationkey", "<=", "n_nationkey")).select("c_custkey", "n_nationkey")
 
 
 @query
-def join_theta_ge_whole(t):
+def join_theta_ge(t):
     return join(t.customer, t.nation, on("c_nationkey", ">=", "n_nationkey")).select("c_custkey", "n_nationkey")
 
 
@@ -220,8 +266,7 @@ def join_theta_ne(t):
 
 @query
 def join_or_condition(t):
-    either = any_of(on("n_nationkey", "=", "s_nationkey"), on("n_regionkey", ">", "s_suppkey"))
-    return join(t.nation, t.supplier, either).select("n_nationkey", "s_suppkey")
+    return join_either(t.nation, t.supplier, on("n_nationkey", "=", "s_nationkey"), on("n_regionkey", ">", "s_suppkey")).select("n_nationkey", "s_suppkey")
 
 
 @query
@@ -249,6 +294,70 @@ def join_then_agg(t):
     return aggregate(join(t.orders, owing, on("o_custkey", "=", "c_custkey")), n=("count", "*"), mx=("max", "o_totalprice"))
 
 
+def outer_join(name: str, how: str, *columns: str) -> None:
+    """Registers a join of nations with suppliers in debt, of one of the types that are not inner."""
+    def run(t: Tables) -> DataFrame:
+        owing = t.supplier.filter(compare("s_acctbal", "<", 0))
+        return join(t.nation.filter(compare("n_nationkey", "<", 20)), owing, on("n_nationkey", "=", "s_nationkey"), how=how).select(*columns)
+
+    QUERIES[name] = lambda spark, sf_dir: run(Tables(spark, sf_dir))
+
+
+outer_join("join_left", "left", "n_nationkey", "s_suppkey")
+outer_join("join_right", "right", "n_nationkey", "s_suppkey")
+outer_join("join_full", "full", "n_nationkey", "s_suppkey")
+outer_join("join_semi", "left_semi", "n_nationkey")
+outer_join("join_anti", "left_anti", "n_nationkey")
+
+
+@query
+def join_two_keys(t):
+    rows = join(t.lineitem, t.orders, on("l_orderkey", "=", "o_orderkey"), on("l_shipdate", "=", "o_orderdate"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+
+
+@query
+def join_using_key(t):
+    orders = t.orders.select(F.col("o_custkey").alias("custkey"), "o_orderkey")
+    return join_using(t.customer.select(F.col("c_custkey").alias("custkey"), "c_name"), orders, "custkey")
+
+
+@query
+def join_range(t):
+    """Parts whose price lies in the 5 above a supplier's balance."""
+    spans = t.supplier.select("s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 5).alias("high"))
+    return band(t.part, spans, "p_retailprice", "low", "high", 5.0).select("p_partkey", "s_suppkey")
+
+
+@query
+def join_asof(t):
+    """Each purchase with the last click of its user before it."""
+    clicks = t.events.filter(compare("event_type", "=", "click")).select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("clicked"))
+    return asof(t.events.filter(compare("event_type", "=", "purchase")).select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "clicked", ["click_id"]).select("event_id", "click_id")
+
+
+@query
+def prefix_sum(t):
+    before = exclusive_sum("l_quantity", ["l_orderkey"], "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return t.lineitem.select("l_orderkey", "l_linenumber", before.alias("before"))
+
+
+@query
+def sort_nulls_last(t):
+    owed = t.customer.select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("owed"))
+    return order_by(owed, "owed desc nulls last", "c_custkey")
+
+
+@query
+def sort_expression(t):
+    return t.orders.orderBy((F.col("o_totalprice") % 1000).desc(), "o_orderkey").select("o_orderkey")
+
+
+@query
+def top_100(t):
+    return top_k(t.lineitem, 100, "l_extendedprice desc", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 def sorted_by(name: str, source: str, columns: str, *keys: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: order_by(table(spark, sf_dir, source), *keys).select(*columns.split())
 
@@ -258,6 +367,8 @@ for _way in ("asc", "desc"):
     sorted_by(f"sort_str_{_way}", "part", "p_partkey p_name", f"p_name {_way}")
 sorted_by("sort_date_asc", "orders", "o_orderkey o_orderdate", "o_orderdate")
 sorted_by("sort_date_desc", "events", "event_id ts", "ts desc")
+sorted_by("sort_large_num", "lineitem", "l_orderkey l_linenumber l_extendedprice", "l_extendedprice desc")
+sorted_by("sort_large_date", "lineitem", "l_orderkey l_linenumber l_shipdate", "l_shipdate")
 sorted_by("sort_multi_key", "orders", "o_orderkey o_orderstatus o_totalprice", "o_orderstatus asc", "o_totalprice desc")
 sorted_by("sort_unprojected_key", "customer", "c_name", "c_acctbal desc")
 
@@ -267,3 +378,16 @@ def flagship(t):
     dear = t.orders.filter(compare("o_totalprice", ">", 300000))
     rows = join_all(dear, (t.customer, on("o_custkey", "=", "c_custkey")), (t.nation, on("c_nationkey", "=", "n_nationkey")))
     return order_by(rows.select("c_name", "n_name", "o_orderkey", "o_totalprice"), "c_name asc")
+
+
+def ask(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """SQL over the tables of a directory that its text names."""
+    engine = Engine(spark)
+    for name in NAMES:
+        if re.search(rf"\b{name}\b", text):
+            engine.register(name, table(spark, sf_dir, name))
+    return engine.sql(text)
+
+
+for _name, _text in TEXTS.items():
+    QUERIES[_name] = lambda spark, sf_dir, text=_text: ask(spark, sf_dir, text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.sources.sink import write_typed_csv
+from lodestone.sources.sink import write_typed_csv, write_typed_csv_parts
 from lodestone.sources.tables import load_directory, read_typed_csv, stem
 
 
@@ -50,4 +50,5 @@ class Engine:
         df.show(n, truncate=width)
 
     def write_result(self, df: DataFrame, path: str) -> str:
-        return write_typed_csv(df, path)
+        """A folder of parts, written by the executors; one local file, through the driver, where the path ends in .csv."""
+        return (write_typed_csv if path.endswith(".csv") else write_typed_csv_parts)(df, path)

@@ -22,7 +22,7 @@ def parse_header(line: str) -> T.StructType:
     """The schema that a header line declares; raises HeaderError if it declares none."""
     fields = []
     for token in line.rstrip("\r\n").lstrip("﻿").split(","):
-        name, paren, rest = token.partition("(")
+        name, paren, rest = token.strip().removeprefix('"').removesuffix('"').partition("(")
         if not paren:
             raise HeaderError(f"no type tag in {token!r}")
         tags = re.findall(r"\(([^()]*)\)", paren + rest)
@@ -41,7 +41,11 @@ def parse_header(line: str) -> T.StructType:
 
 def format_header(schema: T.StructType) -> str:
     """The header line for a schema; types without a tag of their own are mapped to the nearest."""
-    return ",".join(f"{f.name} ({tag_of(f.dataType)})" + " (P)" * bool(f.metadata.get("primary_key")) for f in schema)
+    return ",".join(format_field(f) for f in schema)
+
+
+def format_field(f: T.StructField) -> str:
+    return f"{f.name} ({tag_of(f.dataType)})" + " (P)" * bool(f.metadata.get("primary_key"))
 
 
 def tag_of(kind: T.DataType) -> str:

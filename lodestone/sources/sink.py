@@ -1,15 +1,15 @@
-"""Writing results as typed CSV."""
+"""Writing results as typed CSV, as one file or as parts; read_typed_csv reads both back."""
 
 from __future__ import annotations
 
-import csv
-import datetime
+import math
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.sources.header import format_header
+from lodestone.sources.header import format_field, format_header
 
 
 def write_typed_csv(df: DataFrame, path: str) -> str:
@@ -17,23 +17,29 @@ def write_typed_csv(df: DataFrame, path: str) -> str:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path, "w", newline="", encoding="utf-8") as f:
         f.write(format_header(df.schema) + "\n")
-        out = csv.writer(f, lineterminator="\n")
         for row in df.toLocalIterator(prefetchPartitions=True):
-            out.writerow([_text(v) for v in row])
+            f.write(",".join(map(_text, row)) + "\n")
     return path
 
 
 def write_typed_csv_parts(df: DataFrame, path: str) -> str:
-    """Part files written by the executors, for results that one file should not hold; the header line lies beside them as text."""
-    shown = df.select([F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if "timestamp" in kind else F.col(f"`{c}`") for c, kind in df.dtypes])
-    shown.write.mode("overwrite").option("header", False).option("escape", '"').csv(f"{path}/data")
-    df.sparkSession.createDataFrame([(format_header(df.schema),)], "header string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    """A folder of part files written by the executors, each with the typed header, in the order of df's partitions."""
+    named = df.select([_shown(f).alias(format_field(f)) for f in df.schema])
+    options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    named.write.mode("overwrite").options(**options).csv(path)
     return path
 
 
+def _shown(f: T.StructField) -> Column:
+    c = F.col(f"`{f.name}`")
+    return c if isinstance(f.dataType, (T.NumericType, T.StringType)) else c.cast("string")
+
+
 def _text(v) -> str:
     if v is None:
         return ""
-    if isinstance(v, datetime.datetime):
-        return v.strftime("%Y-%m-%d %H:%M:%S")
-    return repr(v) if isinstance(v, float) else str(v)
+    if isinstance(v, float):
+        return repr(v) if math.isfinite(v) else "NaN" if math.isnan(v) else "Infinity" if v > 0 else "-Infinity"
+    text = str(v)  # of a timestamp: with a fraction where there is one
+    plain = text == text.strip() and not any(x in text for x in '",\r\n') and text
+    return text if plain else '"' + text.replace('"', '""') + '"'

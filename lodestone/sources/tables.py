@@ -6,42 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions import parse_moment
 from lodestone.sources.header import parse_header
 
 CORRUPT = "_corrupt_record"
 
 
-def read_typed_csv(spark: SparkSession, path: str, *, keep_corrupt: bool = False) -> DataFrame:
-    """A CSV file with a typed header line. Quoting as in RFC 4180, LF or CRLF.
+def read_typed_csv(spark: SparkSession, path: str, *, keep_corrupt: bool = False, multiline: bool | None = None) -> DataFrame:
+    """A CSV file, or a folder of them, with a typed header line in each. Quoting as in RFC 4180, LF or CRLF.
 
-    Numbers and timestamps that don't parse, and the missing ends of short rows, are null;
-    empty text is ''. With keep_corrupt, the column _corrupt_record has the lines that did not parse.
+    Numbers and timestamps that don't parse, and the missing ends of short rows, are null; blanks around them are
+    ignored. Text is kept as it is; empty text is ''. With keep_corrupt, the column _corrupt_record has the lines that
+    did not parse. multiline says whether quoted texts hold line ends: such files are not split among tasks. Where it
+    is not given, one pass looks for a line with an odd number of quotes and stops at the first.
     """
-    first = spark.read.text(path).limit(1).collect()
+    lines = spark.read.text(path)
+    first = lines.limit(1).collect()
     if not first:
         raise ValueError(f"{path} has no header line")
     declared = parse_header(first[0][0])
-    raw = T.StructType([*declared.fields, T.StructField(CORRUPT, T.StringType())])
-    df = (
-        spark.read.schema(raw)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm:ss]")
-        .csv(path)
-    )
-    columns = []
+    if multiline is None:
+        multiline = not lines.filter((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).isEmpty()
+    # moments are read as text: their format is the same whatever the session's time zone
+    raw = T.StructType([*(T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType) for f in declared), T.StructField(CORRUPT, T.StringType())])
+    options = {"header": True, "enforceSchema": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "quote": '"', "escape": '"', "multiLine": multiline}
+    df = spark.read.schema(raw).options(**options).csv(path)
+    columns, bad = [], F.lit(False)
     for f in declared:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
-            c = F.coalesce(F.regexp_replace(c, r"\r$", ""), F.lit(""))
+            c = F.coalesce(c, F.lit(""))
+        elif isinstance(f.dataType, T.TimestampNTZType):
+            text, c = c, parse_moment(c)
+            bad |= (F.trim(text) != "") & c.isNull()
         columns.append(c.alias(f.name, metadata=f.metadata))
     if keep_corrupt:
-        columns.append(F.col(CORRUPT))
+        columns.append(F.coalesce(F.col(CORRUPT), F.when(bad, F.to_csv(F.struct(*[F.col(f"`{f.name}`") for f in declared])))).alias(CORRUPT))
     return df.select(columns)
 
 

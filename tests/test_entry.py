@@ -4,6 +4,8 @@ import builtins
 import importlib
 import sys
 
+import pytest
+
 
 def test_entry(spark):
     import __spark_entry__ as e
@@ -17,7 +19,7 @@ def test_without_llm(monkeypatch):
 
     def gone(name, *a, **k):
         if name.startswith(("lodestone.llm", "corpus_pipeline")):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *a, **k)
 
     monkeypatch.setattr(builtins, "__import__", gone)
@@ -26,3 +28,18 @@ def test_without_llm(monkeypatch):
     e = importlib.import_module("__spark_entry__")
     assert "flagship" in e.queries() and not any(q.startswith("op") for q in e.queries())
     assert set(e.oracle_sql()) == set(e.queries())
+
+
+def test_a_broken_llm_is_not_hidden(monkeypatch):
+    real = builtins.__import__
+
+    def broken(name, *a, **k):
+        if name == "lodestone.llm.queries":
+            raise ModuleNotFoundError("some library", name="some_library")
+        return real(name, *a, **k)
+
+    import __spark_entry__ as e
+
+    monkeypatch.setattr(builtins, "__import__", broken)
+    with pytest.raises(ModuleNotFoundError):
+        e.queries()

@@ -29,11 +29,11 @@ def tables(tmp_path_factory):
 @pytest.mark.parametrize(
     "name, sides, columns, op",
     [
-        ("join_theta_lt_whole", ("customer", "supplier"), ("c_acctbal", "s_acctbal"), operator.lt),
-        ("join_theta_gt_whole", ("customer", "supplier"), ("c_acctbal", "s_acctbal"), operator.gt),
-        ("join_theta_le_whole", ("customer", "nation"), ("c_nationkey", "n_nationkey"), operator.le),
-        ("join_theta_ge_whole", ("customer", "nation"), ("c_nationkey", "n_nationkey"), operator.ge),
-        ("join_equi_date_whole", ("lineitem", "orders"), ("l_shipdate", "o_orderdate"), operator.eq),
+        ("join_theta_lt", ("customer", "supplier"), ("c_acctbal", "s_acctbal"), operator.lt),
+        ("join_theta_gt", ("customer", "supplier"), ("c_acctbal", "s_acctbal"), operator.gt),
+        ("join_theta_le", ("customer", "nation"), ("c_nationkey", "n_nationkey"), operator.le),
+        ("join_theta_ge", ("customer", "nation"), ("c_nationkey", "n_nationkey"), operator.ge),
+        ("join_equi_date", ("lineitem", "orders"), ("l_shipdate", "o_orderdate"), operator.eq),
     ],
 )
 def test_whole_join(spark, tables, name, sides, columns, op):
