@@ -16,19 +16,54 @@ from lodestone.llm.text import gather
 CLASSES, SLOTS, HIDDEN = 40, 40, 32
 #: Steps of a window of truncated backpropagation, steps of a window of scoring; most lanes that run side by side.
 STEPS, SCORE_STEPS, LANES, SCORE_LANES = 16, 64, 512, 512
+#: Windows of scoring are up to so many times longer where lanes are fewer, so that they hold as many words.
+LONGER = 8
 #: Windows that a replica's training is to have before it gets more lanes, and lanes at least.
 WINDOWS, FEW_LANES = 256, 8
+#: Words, in the order of their classes, whose outputs are worked on together: what they need stays in a core's cache.
+BLOCK = 1024
 RATE = 0.01
+ONE, TWO = np.array(1, np.float32), np.array(2, np.float32)
 #: Tokens that one lane is trained on in a run, and tokens before a later part of a text that set its state.
 PART, WARM = 4096, 64
 
 
 def softmax(x: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of each row's picked column, and the probabilities of all."""
-    x = x - x.max(axis=1, keepdims=True)
-    e = np.exp(x)
-    total = e.sum(axis=1, keepdims=True)
-    return x[np.arange(len(x)), pick] - np.log(total[:, 0]), np.divide(e, total, out=e)
+    """Log-probability of each column's picked row, and what each column's exponentials, which take the place of x, add up to."""
+    x -= x.max(axis=0)
+    picked = x[pick, np.arange(x.shape[1])]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    return picked - np.log(total), total
+
+
+def apart(m: np.ndarray) -> np.ndarray:
+    """The columns of the gates z and r and of the candidate as three matrices, so that each is worked on in one piece, times what their sigmoids' exponentials take."""
+    out = np.ascontiguousarray(m.reshape(len(m), 3, HIDDEN).swapaxes(0, 1))
+    out *= np.array([-1, -1, -2], out.dtype)[:, None, None]
+    return out
+
+
+def begins(text: np.ndarray) -> dict[int, np.ndarray]:
+    """The lanes that begin a text, for each step with any."""
+    step, lane = np.nonzero(text < 0)
+    edge = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(step) else step
+    return dict(zip(step[edge].tolist(), np.split(lane, edge[1:])))
+
+
+def sums_by(number: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and the sum of each one's rows: a run of n rows is added up in pieces of the powers of two that n is made of."""
+    order = np.argsort(number.astype(np.uint16), kind="stable")  # numbers are two bytes long
+    number = number[order]
+    head = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+    n = np.diff(np.r_[head, len(number)])
+    out = np.zeros((len(head), rows.shape[1]), rows.dtype)
+    for bit in range(int(n.max()).bit_length()):
+        some = np.flatnonzero(n >> bit & 1)
+        first = head[some] + (n[some] >> bit + 1 << bit + 1)
+        piece = rows.take(order[first[:, None] + np.arange(1 << bit)], axis=0)
+        out[some] += (np.ones((1, 1 << bit), rows.dtype) @ piece if bit else piece)[:, 0]
+    return number[head], out
 
 
 def lanes_of(lengths: np.ndarray, most: int) -> list[list[int]]:
@@ -106,38 +141,52 @@ class Gru:
         m.bm[:] = np.log(share / share.sum(axis=1, keepdims=True))
         return m
 
-    def step(self, old: np.ndarray, x: np.ndarray, out: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
-        """One step from the states old and the inputs' part x of the gates: the new states, the gates z and r side by side, the states' part of the candidate, the candidate."""
-        new, zr, an, n = out or [np.empty((len(old), k * HIDDEN), np.float32) for k in (1, 2, 1, 1)]
-        a = old @ self.u
-        np.add(x[:, : 2 * HIDDEN], a[:, : 2 * HIDDEN], out=zr)
-        np.negative(zr, out=zr)
+    def step(self, old: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One step from the states old and the inputs' part x of the gates: what forward gives."""
+        out = [np.empty(s, np.float32) for s in (old.shape, (3, *old.shape), old.shape)]
+        self.forward(old, apart(x), apart(self.u), *out)
+        return tuple(out)
+
+    @staticmethod
+    def forward(old: np.ndarray, x: np.ndarray, u: np.ndarray, new: np.ndarray, a: np.ndarray, n: np.ndarray) -> None:
+        """A step from the states old, with x and u apart: new states into new; the gates z and r, and -2 times the states' part of the candidate, into a; the candidate into n."""
+        np.matmul(old, u, out=a, casting="same_kind")
+        zr = a[:2]
+        zr += x[:2]
         np.exp(zr, out=zr)
-        zr += 1
+        zr += ONE
         np.reciprocal(zr, out=zr)
-        an[:] = a[:, 2 * HIDDEN :]
-        np.multiply(zr[:, HIDDEN:], an, out=n)
-        n += x[:, 2 * HIDDEN :]
-        np.tanh(n, out=n)
+        np.multiply(a[1], a[2], out=n)
+        n += x[2]
+        np.exp(n, out=n)  # tanh(y) is 2 / (1 + exp(-2 y)) - 1
+        n += ONE
+        np.divide(TWO, n, out=n)
+        n -= ONE
         np.subtract(old, n, out=new)
-        new *= zr[:, :HIDDEN]
+        new *= a[0]
         new += n
-        return new, zr, an, n
-
-    def run(self, word: np.ndarray, text: np.ndarray, h: np.ndarray, before: np.ndarray, start: int) -> tuple[np.ndarray, ...]:
-        """What each step reads, the lanes that begin a text at each step, the states before each step, gates, candidates' parts, candidates and states after."""
-        read = self.inputs(word, text, before, start)
-        x = (self.x + self.b)[read]
-        begin = [np.flatnonzero(row < 0) for row in text]
-        shape = (*word.shape, HIDDEN)
-        old, an, n, states = (np.empty(shape, np.float32) for _ in range(4))
-        zr = np.empty((*word.shape, 2 * HIDDEN), np.float32)
-        for i in range(len(word)):
-            old[i] = h
-            old[i, begin[i]] = 0
-            self.step(old[i], x[i], (states[i], zr[i], an[i], n[i]))
-            h = states[i]
-        return read, begin, old, zr, an, n, states
+
+    def run(self, word: np.ndarray, text: np.ndarray, h: np.ndarray, before: np.ndarray, start: int | np.ndarray, kept: bool = True) -> tuple[np.ndarray, ...]:
+        """What each step reads, the lanes that begin a text at a step, by step, the states before each step, gates and candidates' parts, candidates (these three of the last step alone, unless kept) and states after."""
+        read = self.inputs(word, text, before, start).astype(np.intp)
+        every, u = apart(self.x + self.b), apart(self.u)
+        begin = begins(text)
+        steps, lanes = word.shape
+        some = steps if kept else 1
+        old, n, states = (np.empty((k, lanes, HIDDEN), np.float32) for k in (some, some, steps))
+        a, x = np.empty((some, 3, lanes, HIDDEN), np.float32), np.empty((3, lanes, HIDDEN), np.float32)
+        with np.errstate(over="ignore"):  # 1 / (1 + infinity) is the limit
+            for i in range(steps):
+                k = i if kept else 0
+                if kept or i in begin:
+                    old[k] = h
+                    h = old[k]
+                    if i in begin:
+                        h[begin[i]] = 0
+                every.take(read[i], axis=1, out=x, mode="clip")
+                self.forward(h, x, u, states[i], a[k], n[k])
+                h = states[i]
+        return read, begin, old, a, n, states
 
     def inputs(self, word: np.ndarray, text: np.ndarray, before: np.ndarray, start: int | np.ndarray) -> np.ndarray:
         """The number that each step reads: the word before, or at the first word of a text start, or start[text]."""
@@ -145,32 +194,41 @@ class Gru:
         return np.where(text < 0, start if np.ndim(start) == 0 else start[np.maximum(-text - 1, 0)], np.maximum(last, 0))
 
     def outputs(self, states: np.ndarray, word: np.ndarray, grad: Gru | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of the words from the states before them; with grad, adds the weights' gradients and gives the states'."""
-        klass = word // SLOTS
-        lc, dc = softmax(states @ self.wc + self.bc, klass)
-        logp = lc.astype(np.float64)
-        back = None
-        if grad is not None:
-            dc[np.arange(len(word)), klass] -= 1
-            grad.wc += states.T @ dc
-            grad.bc += dc.sum(axis=0)
-            back = dc @ self.wc.T
+        """Natural log-probabilities of the words from the states before them, 0 for words below 0; with grad, adds the weights' gradients and gives the states'."""
+        klass = (word // SLOTS).astype(np.int16)
         order = np.argsort(klass, kind="stable")
-        edge = np.searchsorted(klass[order], np.arange(CLASSES + 1))
-        states, slots = states[order], word[order] % SLOTS
-        inside, back_in = np.empty(len(word), np.float32), np.empty_like(states) if grad is not None else None
-        for c in np.flatnonzero(np.diff(edge)):
-            own = slice(edge[c], edge[c + 1])
-            s, slot = states[own], slots[own]
-            inside[own], dm = softmax(s @ self.wm[c] + self.bm[c], slot)
+        order = order[np.searchsorted(klass[order], 0) :]
+        logp, back = np.zeros(len(word)), np.zeros_like(states) if grad is not None else None
+        for k in range(0, len(order), BLOCK):
+            own = order[k : k + BLOCK]
+            s, of, nth = states.take(own, axis=0), klass[own], np.arange(len(own))
+            slot = word[own] % SLOTS
+            edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+            runs = [(of[i], slice(i, j)) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            x = np.empty((CLASSES + SLOTS, len(own)), self.w.dtype)  # a column for each word
+            of_class, in_class = x[:CLASSES], x[CLASSES:]
+            np.matmul(self.wc.T, s.T, out=of_class)
+            of_class += self.bc[:, None]
+            for c, run in runs:
+                part = in_class[:, run]
+                np.matmul(self.wm[c].T, s[run].T, out=part)
+                part += self.bm[c][:, None]
+            (log_class, total), (log_slot, total_in) = softmax(of_class, of), softmax(in_class, slot)
+            logp[own] = log_class + log_slot
             if grad is not None:
-                dm[np.arange(len(slot)), slot] -= 1
-                grad.wm[c] = s.T @ dm
-                grad.bm[c] = dm.sum(axis=0)
-                np.matmul(dm, self.wm[c].T, out=back_in[own])
-        logp[order] += inside
-        if grad is not None:
-            back[order] += back_in
+                of_class *= 1 / total
+                in_class *= 1 / total_in
+                of_class[of, nth] -= 1
+                in_class[slot, nth] -= 1
+                grad.wc += s.T @ of_class.T
+                grad.bc += of_class.sum(axis=1)
+                grad.bm[of[edge[:-1]]] += np.add.reduceat(in_class, edge[:-1], axis=1).T
+                d = of_class.T @ self.wc.T
+                for c, run in runs:
+                    part = in_class[:, run].T
+                    grad.wm[c] += s[run].T @ part
+                    d[run] += part @ self.wm[c].T
+                back[own] = d
         return logp, back
 
     def score(self, ids: np.ndarray, at: np.ndarray, start: int) -> np.ndarray:
@@ -178,19 +236,20 @@ class Gru:
         word, text, _ = matrices(ids, at, SCORE_LANES)
         out = np.zeros(len(at) - 1)
         h, before = np.zeros((word.shape[1], HIDDEN), np.float32), np.zeros(word.shape[1], np.int32)
-        for k in range(0, len(word), SCORE_STEPS):
-            w, t = word[k : k + SCORE_STEPS], text[k : k + SCORE_STEPS]
+        k = 0
+        while k < len(word):
+            steps = SCORE_STEPS * min(LONGER, max(1, SCORE_LANES // len(h)))
+            w, t = word[k : k + steps], text[k : k + steps]
             live = np.flatnonzero(w[0] >= 0)
             w, t, h, before = w[:, live], t[:, live], h[live], before[live]
             if k and len(live) < word.shape[1]:
                 word, text = word[:, live], text[:, live]
-            states = self.run(w, t, h, before, start)[-1]
+            states = self.run(w, t, h, before, start, kept=False)[-1]
             h = states[-1]
-            real = w >= 0
-            logp, _ = self.outputs(states[real], w[real])
-            of = t[real]
+            logp, _ = self.outputs(states.reshape(-1, HIDDEN), w.reshape(-1))
+            of = t.reshape(-1)
             out += np.bincount(np.where(of < 0, -of - 1, of), weights=logp, minlength=len(out))
-            before = w[-1]
+            before, k = w[-1], k + steps
         return out
 
     def train(self, ids: np.ndarray, at: np.ndarray, start: int, adam: Adam, lanes: int = LANES) -> int:
@@ -204,34 +263,47 @@ class Gru:
         return int(counts.sum())
 
     def window(self, w: np.ndarray, t: np.ndarray, h: np.ndarray, before: np.ndarray, start: int | np.ndarray, adam: Adam, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        read, begin, old, zr, an, n, states = self.run(w, t, h, before, start)
+        read, begin, old, a, n, states = self.run(w, t, h, before, start)
         grad = Gru(np.zeros_like(self.w))
         real = w >= 0 if counts is None else counts
-        _, back = self.outputs(states[real], w[real], grad)
-        ds = np.zeros_like(states)
-        ds[real] = back
-        z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
-        to_n, to_z, to_r = (1 - z) * (1 - n * n), (old - n) * z * (1 - z), an * r * (1 - r)  # of all steps at once
-        da, dn = np.empty((*w.shape, 3 * HIDDEN), np.float32), np.empty_like(states)
-        carry, down = np.zeros_like(h), np.ascontiguousarray(self.u.T)
+        _, back = self.outputs(states.reshape(-1, HIDDEN), np.where(real, w, -1).reshape(-1), grad)
+        ds = back.reshape(states.shape)
+        da, parts, du = np.empty((3, *h.shape), np.float32), np.empty((3, *h.shape), np.float32), np.zeros((3, HIDDEN, HIDDEN), np.float32)
+        carry, less, to_n = np.zeros_like(h), np.empty_like(h), np.empty_like(h)
+        down = np.ascontiguousarray(self.u.reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0))
+        flat = np.empty((*w.shape, 3, HIDDEN), np.float32)
         for i in reversed(range(len(w))):
-            d = ds[i]
+            d, (z, r, an), (to_z, to_r, _) = ds[i], a[i], da
             d += carry
-            np.multiply(d, to_n[i], out=dn[i])
-            np.multiply(d, to_z[i], out=da[i, :, :HIDDEN])
-            np.multiply(dn[i], to_r[i], out=da[i, :, HIDDEN : 2 * HIDDEN])
-            np.multiply(dn[i], r[i], out=da[i, :, 2 * HIDDEN :])
-            np.matmul(da[i], down, out=carry)
-            d *= z[i]
-            carry += d
-            carry[begin[i]] = 0
-        grad.u += old.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
-        da[:, :, 2 * HIDDEN :] = dn  # from here on, of the inputs' part
-        flat, number = da.reshape(-1, 3 * HIDDEN), read.reshape(-1)
-        grad.b += flat.sum(axis=0)
-        order = np.argsort(number, kind="stable")
-        head = np.flatnonzero(np.r_[True, np.diff(number[order]) > 0])
-        grad.x[number[order][head]] += np.add.reduceat(flat[order], head)
+            np.subtract(ONE, z, out=less)
+            np.multiply(n[i], n[i], out=to_n)
+            np.subtract(ONE, to_n, out=to_n)
+            to_n *= less
+            to_n *= d
+            np.subtract(old[i], n[i], out=to_z)
+            to_z *= z
+            to_z *= less
+            to_z *= d
+            np.subtract(r, ONE, out=less)
+            less *= 0.5  # an is -2 times the part
+            np.multiply(an, r, out=to_r)
+            to_r *= less
+            to_r *= to_n
+            np.multiply(to_n, r, out=da[2])
+            np.matmul(da, down, out=parts)
+            du += old[i].T @ da
+            np.multiply(d, z, out=carry)
+            for part in parts:
+                carry += part
+            if i in begin:
+                carry[begin[i]] = 0
+            for k, part in enumerate((to_z, to_r, to_n)):
+                flat[i, :, k] = part
+        grad.u += np.hstack(du)
+        flat = flat.reshape(-1, 3 * HIDDEN)
+        some, sums = sums_by(read.reshape(-1), flat)
+        grad.x[some] += sums
+        grad.b += sums.sum(axis=0)
         adam.update(self.w, grad.w / max(1, int(real.sum())))
         return states[-1], w[-1]
 
@@ -244,10 +316,18 @@ class Adam:
 
     def update(self, w: np.ndarray, g: np.ndarray) -> None:
         self.k += 1
-        self.m += np.float32(0.1) * (g - self.m)
-        self.v += np.float32(0.01) * (g * g - self.v)
-        fix = np.float32(self.rate * np.sqrt(1 - 0.99**self.k) / (1 - 0.9**self.k))
-        w -= fix * self.m / (np.sqrt(self.v) + np.float32(1e-8))
+        move = g - self.m
+        move *= np.float32(0.1)
+        self.m += move
+        np.multiply(g, g, out=move)
+        move -= self.v
+        move *= np.float32(0.01)
+        self.v += move
+        np.sqrt(self.v, out=move)
+        move += np.float32(1e-8)
+        np.divide(self.m, move, out=move)
+        move *= np.float32(self.rate * np.sqrt(1 - 0.99**self.k) / (1 - 0.9**self.k))
+        w -= move
 
 
 def held(pieces: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
