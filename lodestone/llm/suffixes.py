@@ -34,76 +34,101 @@ WIDTH, GRAM, STRIDE = 200, 64, 40
 SHARD_BYTES = 1 << 18
 
 
+def ordered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of the tuples of keys, none negative, and for each in that order whether it differs from the one before.
+
+    Keys and position are packed into one number each, which is much faster to sort than positions by their keys. Where they
+    take over 64 bits, the last bits of the key are left out; if different tuples agree in the others, positions are sorted.
+    """
+    n = len(keys[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    wide, low = [int(k.max()).bit_length() for k in keys], (n - 1).bit_length()
+    if sum(wide) <= 64:
+        whole = keys[0].astype(np.uint64)
+        for k, w in zip(keys[1:], wide[1:]):
+            whole = whole << np.uint64(w) | k.astype(np.uint64)
+        lost = max(sum(wide) + low - 64, 0)
+        packed = whole >> np.uint64(lost) << np.uint64(low) | np.arange(n, dtype=np.uint64)
+        packed.sort()
+        order = (packed & np.uint64((1 << low) - 1)).view(np.int64)
+        packed >>= np.uint64(low)
+        new = changes(packed)
+        if not lost or (changes(whole[order]) == new).all():
+            return order, new
+    order = np.lexsort(keys[::-1])
+    return order, np.logical_or.reduce([changes(k[order]) for k in keys])
+
+
+def changes(x: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before; the first does."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
+
+
 def dense(*keys: np.ndarray) -> np.ndarray:
     """Ranks from 0 of the tuples of keys, equal for equal tuples."""
-    rank = np.unique(keys[0], return_inverse=True)[1]
-    for k in keys[1:]:
-        rank = np.unique(rank * (int(k.max()) + 1) + k, return_inverse=True)[1] if len(k) else rank
+    order, new = ordered(*keys)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
     return rank
 
 
 class Transform:
     """Suffix order and Burrows-Wheeler transform of a shard of strings over the symbols 1, 2, ...; 0 ends each string.
 
-    Strings lie one after the other as chains: position i goes on at nxt[i], or ends with -1. Rows are the ends of
-    all strings, in the order of their first positions, and then the suffixes in order, ties by that of their strings.
+    Each run of equal entries of string holds step strings, one for each phase: position i goes on at i + step, if that is
+    in the run. Rows are the ends of all strings, in the order of their first positions, and then the suffixes in order,
+    ties by that of their strings.
     """
 
     def __init__(self, symbols: np.ndarray, string: np.ndarray, step: int):
         n = len(symbols)
-        here = np.arange(n)
-        nxt = np.where((here + step < n) & (string[np.minimum(here + step, n - 1)] == string), here + step, -1)
-        rank, hop = symbols.astype(np.int64), nxt.copy()
-        longest = int(np.bincount(string).max()) // step + 1 if n else 0
-        reach = 1
-        while reach < longest:  # prefix doubling inside the shard
-            rank = dense(rank, np.where(hop >= 0, rank[hop] + 1, 0))
-            hop = np.where(hop >= 0, nxt_of(hop, nxt, reach, step), -1)
+        edge = np.flatnonzero(changes(string))
+        run = np.diff(np.r_[edge, n])
+        heads = gather(edge, np.minimum(run, step))
+        size = -(-(np.repeat(edge + run, np.minimum(run, step)) - heads) // step)
+        stop = np.cumsum(size)
+        place = np.repeat(heads - step * (stop - size), size) + step * np.arange(n)  # string by string, so ties are by position
+        own = symbols[place].astype(np.int64)
+        left = np.repeat(stop, size) - np.arange(n)
+        rank, order, reach = own, np.zeros(0, np.int64), 1
+        longest = int(size.max()) if n else 0
+        while reach < longest or len(order) < n:  # prefix doubling inside the shard
+            after = np.zeros(n, np.int64)
+            after[:-reach] = np.where(left[:-reach] > reach, rank[reach:], 0)
+            order, new = ordered(rank, after)
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(new)
             reach *= 2
-        first = np.ones(n, bool)
-        first[nxt[nxt >= 0]] = False
-        heads = np.flatnonzero(first)
-        number = np.zeros(n, np.int64)  # the string of each position
-        number[heads] = np.arange(len(heads))
-        chain = heads
-        while len(chain):
-            go = nxt[chain]
-            number[go[go >= 0]] = number[chain[go >= 0]]
-            chain = go[go >= 0]
-        order = np.lexsort((number, rank))
-        self.suffix = np.r_[np.full(len(heads), -1), order]
-        before = np.full(n, -1)
-        before[nxt[nxt >= 0]] = np.flatnonzero(nxt >= 0)
-        last = np.empty(len(heads), np.int64)
-        tails = np.flatnonzero(nxt < 0)
-        last[number[tails]] = tails
-        previous = np.r_[last, before[order]]
         self.strings = len(heads)
-        self.bwt = np.where(previous >= 0, symbols[np.maximum(previous, 0)], 0)
+        self.suffix = np.r_[np.full(len(heads), -1), place[order]]
+        before = np.zeros(n, np.int64)
+        before[1:] = own[:-1]
+        before[stop - size] = 0
+        self.bwt = np.r_[own[stop - 1], before[order]]
 
 
-def nxt_of(hop: np.ndarray, nxt: np.ndarray, reach: int, step: int) -> np.ndarray:
-    """Where `reach` further steps lead from hop, -1 past the end."""
-    far = np.maximum(hop, 0)
-    for _ in range(reach):
-        far = np.where(far >= 0, nxt[np.maximum(far, 0)], -1)
-    return np.where(hop >= 0, far, -1)
+def slots(z: np.ndarray) -> np.ndarray:
+    """The slots of an interleave by shard: the k-th slot of a shard holds its k-th row."""
+    return np.argsort(z, kind="stable")  # of small numbers: by digits, in linear time
 
 
 def merge(shards: list[Transform], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """The interleave of the shards' rows after `rounds` refinements, and the block of each row: rows of a block share their first `rounds` symbols."""
-    ends = np.repeat(np.arange(len(shards)), [s.strings for s in shards])
-    z = np.r_[ends, np.repeat(np.arange(len(shards)), [len(s.bwt) - s.strings for s in shards])]
+    number = np.arange(len(shards), dtype=np.min_scalar_type(len(shards)))
+    ends = np.repeat(number, [s.strings for s in shards])
+    z = np.concatenate([ends, np.repeat(number, [len(s.bwt) - s.strings for s in shards])])
+    bwt = np.concatenate([s.bwt for s in shards])
     block = np.zeros(len(z), np.int64)
     for _ in range(rounds):
-        by_shard = np.argsort(z, kind="stable")  # the k-th slot of a shard holds its k-th row
         symbol = np.empty(len(z), np.int64)
-        symbol[by_shard] = np.concatenate([s.bwt for s in shards])
-        order = np.argsort(symbol, kind="stable")[len(ends) :]  # string starts lead to no row
-        s, b = symbol[order], block[order]
-        new = np.r_[True, (s[1:] != s[:-1]) | (b[1:] != b[:-1])] if len(s) else np.zeros(0, bool)
-        z = np.r_[ends, z[order]]
-        block = np.r_[np.zeros(len(ends), np.int64), np.cumsum(new)]
+        symbol[slots(z)] = bwt
+        order, new = (x[len(ends) :] for x in ordered(symbol))  # string starts lead to no row
+        z[len(ends) :] = z[order]
+        block[len(ends) :] = np.cumsum(new | changes(block[order]))
+        block[: len(ends)] = 0
     return z, block
 
 
@@ -127,10 +152,9 @@ def index(body: pa.Array, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         shards.append(Transform(names[own], of[own] - a, STRIDE))
         base.append(spot_at[a])
     z, block = merge(shards, WIDTH // STRIDE)
-    by_shard = np.argsort(z, kind="stable")
     suffix = np.concatenate([np.where(s.suffix >= 0, s.suffix + b, -1) for s, b in zip(shards, base)])
     spot = np.empty(len(z), np.int64)
-    spot[by_shard] = suffix
+    spot[slots(z)] = suffix
     offset = np.arange(len(start)) - spot_at[of]
     whole = offset < count[of]  # a window of full width starts here
     row = np.flatnonzero(spot >= 0)
