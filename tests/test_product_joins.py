@@ -87,6 +87,7 @@ def dealt(df):
 @pytest.mark.parametrize("name, left, right, keep", [
     ("join_equi_date", "lineitem", "orders", None),
     ("join_theta_gt", "customer", "supplier", operator.gt),
+    ("join_theta_lt", "customer", "supplier", operator.lt),
 ])
 def test_pairs_of_one_key_are_dealt_out(spark, one_key, monkeypatch, name, left, right, keep):
     monkeypatch.setattr(products, "BLOCK", 64)
