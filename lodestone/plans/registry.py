@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import exclusive_sum, wall_clock
-from lodestone.operators import aggregate, all_of, any_of, asof, band, between, compare, distinct, group, is_in, is_null, join, join_all, join_either, join_groups, join_ordered, join_using, like, not_null, order_by, top_k, trim_equal
+from lodestone.operators import aggregate, all_of, any_of, asof, band, between, compare, distinct, group, is_in, is_null, join, join_all, join_either, join_groups, join_ordered, join_using, like, not_null, order_by, top_k, trimmed
 from lodestone.operators.aggregates import exact_sum
 from lodestone.plans.sql import TEXTS
 from lodestone.session import Engine
@@ -219,9 +219,9 @@ def join_equi_num(t):
 
 @query
 def join_equi_str(t):
-    s = t.supplier.select("s_suppkey", F.concat(F.lit("Supplier-"), F.col("s_nationkey").cast("string"), F.lit(" ")).alias("sk"))
-    p = t.part.select("p_partkey", F.concat(F.lit(" Supplier-"), F.col("p_size").cast("string")).alias("pk"))
-    return join(s, p, trim_equal("sk", "pk")).select("s_suppkey", "p_partkey")
+    s = t.supplier.select("s_suppkey", F.concat(F.lit("Supplier-"), F.col("s_nationkey").cast("string"), F.lit(" ")).alias("k"))
+    p = t.part.select("p_partkey", F.concat(F.lit(" Supplier-"), F.col("p_size").cast("string")).alias("k"))
+    return join_groups(s.withColumn("k", trimmed("k")), p.withColumn("k", trimmed("k")), "k").select("s_suppkey", "p_partkey")
 
 
 @query
