@@ -237,7 +237,9 @@ def join_multi_cond(t):
 
 @query
 def join_eq_and_ne(t):
-    return join(t.customer, t.supplier, on("c_nationkey", "=", "s_nationkey"), on("c_acctbal", "<>", "s_acctbal")).select("c_custkey", "s_suppkey")
+    c = t.customer.select("c_custkey", "c_acctbal", F.col("c_nationkey").alias("nationkey"))
+    s = t.supplier.select("s_suppkey", "s_acctbal", F.col("s_nationkey").alias("nationkey"))
+    return join_groups(c, s, "nationkey", on("c_acctbal", "<>", "s_acctbal")).select("c_custkey", "s_suppkey")
 
 
 @query

@@ -88,6 +88,7 @@ def dealt(df):
     ("join_equi_date", "lineitem", "orders", None),
     ("join_theta_gt", "customer", "supplier", operator.gt),
     ("join_theta_lt", "customer", "supplier", operator.lt),
+    ("join_eq_and_ne", "customer", "supplier", operator.ne),
     ("join_equi_str", "supplier", "part", None),
 ])
 def test_pairs_of_one_key_are_dealt_out(spark, one_key, monkeypatch, name, left, right, keep):
